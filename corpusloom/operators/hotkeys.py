@@ -76,5 +76,5 @@ def heavy_keys(per_key: DataFrame, counted: str, share: float) -> DataFrame:
 
     At most 1/share rows remain. An empty input gives no rows.
     """
-    whole = per_key.agg(F.sum(counted).alias("__all"))
-    return per_key.crossJoin(F.broadcast(whole)).filter(F.col(counted) >= F.lit(share) * F.col("__all")).drop("__all")
+    whole = per_key.agg(F.sum(counted)).scalar()
+    return per_key.filter(F.col(counted) >= F.lit(share) * whole)
