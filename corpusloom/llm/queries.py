@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import equal_forms
+from corpusloom.llm import dress, equal_forms
 
-MODULES = (equal_forms,)
+MODULES = (equal_forms, dress)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
