@@ -133,12 +133,30 @@ def text_rows(df: DataFrame, tab: str, key: str, text: str) -> DataFrame:
     return df.select(F.lit(tab).alias("tab"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
 
-def text_hashes(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """Hash and number of letters and digits of each text of at least ``min_letters`` of them."""
+def regular(rows: DataFrame) -> DataFrame:
+    """``rows`` with the few irregular texts brought to the consistent form, so that the table can fold all."""
     odd = F.col("text").rlike(IRREGULAR)
     shaped = with_columns(rows.filter(odd), {"shaped": ("string", lambda v: [forms.shape(x) for x in v])}, "text", drop=("text",)).withColumnRenamed("shaped", "text")
     mixed = repair(runtime.table(shaped), "text", latin_words(rows, "text"))
-    return rows.filter(~odd).unionByName(mixed).mapInArrow(_text_hashes, HASHED).filter(F.col("n") >= min_letters)
+    return rows.filter(~odd).unionByName(mixed)
+
+
+def text_hashes(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """Hash and number of letters and digits of each text of at least ``min_letters`` of them."""
+    return regular(rows).mapInArrow(_text_hashes, HASHED).filter(F.col("n") >= min_letters)
+
+
+def text_digests(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(id, k): 128-bit digest of the letters and digits of each text of at least ``min_letters`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sym, starts = stream.fold(b.column("text").to_pylist())
+            long = np.flatnonzero(starts[1:] - starts[:-1] >= min_letters)
+            made = [hashlib.blake2b(sym[starts[i] : starts[i + 1]].tobytes(), digest_size=16).digest() for i in long]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(long)), pa.array(made, pa.binary())], ["id", "k"])
+
+    return regular(rows).mapInArrow(run, "id bigint, k binary")
 
 
 def record_hashes(rows: DataFrame) -> DataFrame:

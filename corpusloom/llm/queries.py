@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import dress, equal_forms
+from corpusloom.llm import dress, equal_forms, groups
 
-MODULES = (equal_forms, dress)
+MODULES = (equal_forms, dress, groups)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
