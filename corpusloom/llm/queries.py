@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import dress, equal_forms, groups
+from corpusloom.llm import cross, dress, equal_forms, groups, near
 
-MODULES = (equal_forms, dress, groups)
+MODULES = (equal_forms, cross, near, groups, dress)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
