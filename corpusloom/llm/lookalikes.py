@@ -9,6 +9,8 @@ the result of at least two differently stored mixed tokens. All else stays as it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,25 @@ def repair(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     fixed = fixes.select("__text", F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at("__fix", x), x)), "").alias("__fixed"))
     done = mixed.withColumn("__text", F.col(text)).join(fixed, "__text", "left").withColumn(text, F.coalesce("__fixed", text)).select(*df.columns)
     return rest.unionByName(done)
+
+
+# --- the same repair for one text against a given, bounded vocabulary ---
+_TABLES = {s: str.maketrans({b: a for o, alphabet in SCRIPTS.items() if o != s for a, b in zip(SCRIPTS[s], alphabet, strict=True) if a != "." and b != "."} | (EXTRA if s == "Latin" else {})) for s in SCRIPTS}
+_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
+_OTHER = re.compile(r"[Ͱ-ԯ]")
+
+
+def repair_text(text: str, vocabulary: frozenset[str] | set[str]) -> str:
+    """``text``, in the consistent form, with each token that holds Greek or Cyrillic letters replaced by its Latin,
+    Cyrillic or Greek reading where that is in ``vocabulary`` (lower case)."""
+
+    def one(m: re.Match) -> str:
+        token = m.group()
+        if not _OTHER.search(token):
+            return token
+        for table in _TABLES.values():
+            if (to := token.translate(table)) != token and to.lower() in vocabulary:
+                return to
+        return token
+
+    return _WORD.sub(one, text) if _OTHER.search(text) else text

@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import cross, dress, equal_forms, groups, near
+from corpusloom.llm import cross, dress, equal_forms, groups, leaks, near
 
-MODULES = (equal_forms, cross, near, groups, dress)
+MODULES = (equal_forms, cross, near, groups, dress, leaks)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
