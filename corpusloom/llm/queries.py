@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import cross, dress, equal_forms, groups, leaks, near
+from corpusloom.llm import cross, dress, equal_forms, groups, leaks, near, subjects
 
-MODULES = (equal_forms, cross, near, groups, dress, leaks)
+MODULES = (equal_forms, cross, near, groups, dress, leaks, subjects)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
