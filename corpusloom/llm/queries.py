@@ -1,8 +1,8 @@
 """The package's registered queries."""
 
-from corpusloom.llm import cross, dress, equal_forms, groups, leaks, near, subjects
+from corpusloom.llm import cross, dress, equal_forms, groups, leaks, mixing, near, subjects
 
-MODULES = (equal_forms, cross, near, groups, dress, leaks, subjects)
+MODULES = (equal_forms, cross, near, groups, dress, leaks, mixing, subjects)
 QUERIES: dict = {}
 SQL: dict = {}
 for _m in MODULES:
