@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hotkeys",)
+MODULES = ("hotkeys", "texts", "cleaning")
 
 
 def _merged(what: str) -> dict:
