@@ -62,7 +62,7 @@ def trimmed(x: Column, rate: int, top_db: float = TOP_DB, margin_ms: float = MAR
 def resampled(x: Column, rate: Column, to: int = 16_000) -> Column:
     """Linear interpolation to ``to`` samples a second over the same span; empty signals stay empty."""
     n = F.size(x)
-    m = F.round(n / rate * to).cast("int")
+    m = F.bround(n / rate * to).cast("int")  # half to even
     step = F.when(m > 1, (n - 1).cast("double") / (m - 1)).otherwise(F.lit(0.0))
 
     def sample(i: Column) -> Column:

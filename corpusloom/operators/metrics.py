@@ -73,7 +73,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def _symbols(own: Column, all_: Column) -> Column:
     """Each word as one code point, by its place in the pair's vocabulary."""
-    return F.array_join(F.transform(own, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(all_, w)), 4, "0")), F.lit("UTF-16BE"))), "")
+    return F.array_join(F.transform(own, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(all_, w)), 4, "0")), "UTF-16BE")), "")
 
 
 def word_edits(reference: Column, prediction: Column) -> Column:

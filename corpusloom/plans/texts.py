@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.guards import residue
 from corpusloom.plans import sqltext as Q
 
 
@@ -13,38 +16,52 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/raw_clips.parquet")
 
 
-def _each(**columns: Column):
-    return lambda spark, sf: clips(spark, sf).select("id", *[c.alias(n) for n, c in columns.items()])
+def _each(columns: Callable[[Column], dict[str, Column]]):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        made = columns(F.col("text_raw"))
+        return clips(spark, sf).select("id", *[c.alias(n) for n, c in made.items()])
+
+    return query
+
 
+def scan_project(spark: SparkSession, sf: str) -> DataFrame:
+    return clips(spark, sf).select("id", T.null_safe(F.col("text_raw")).alias("text"), "duration")
 
-RAW = F.col("text_raw")
 
+def text_audit(spark: SparkSession, sf: str) -> DataFrame:
+    t, n = T.null_safe(F.col("text_raw")), F.count(F.lit(1))
+    arabic = F.count_if(T.has_arabic(t))
+    return clips(spark, sf).agg(
+        n.alias("n_rows"), arabic.alias("n_arabic"), F.count_if(T.has_digits(t)).alias("n_digits"), F.count_if(T.has_marks(t)).alias("n_marks"),
+        (n - F.count_distinct(t)).alias("n_repeated"), F.round(F.try_divide(arabic * 100.0, n), 4).alias("pct_arabic"),
+    )
 
-def queries() -> dict:
-    safe = T.null_safe(RAW)
-    return {
-        "scan_project": lambda spark, sf: clips(spark, sf).select("id", safe.alias("text"), "duration"),
-        "text_audit": lambda spark, sf: clips(spark, sf).agg(
-            F.count(F.lit(1)).alias("n_rows"), F.count_if(T.has_arabic(safe)).alias("n_arabic"), F.count_if(T.has_digits(safe)).alias("n_digits"), F.count_if(T.has_marks(safe)).alias("n_marks"),
-            (F.count(F.lit(1)) - F.count_distinct(safe)).alias("n_repeated"), F.round(F.try_divide(F.count_if(T.has_arabic(safe)) * 100.0, F.count(F.lit(1))), 4).alias("pct_arabic"),
-        ),
-        "text_normalize": _each(persian=T.to_persian(RAW), bare=T.without_marks(RAW), collapsed=T.collapsed(RAW), scoring=T.for_scoring(safe)),
-        "text_normalize_alt": _each(extended=T.Profile(extended=True)(RAW), no_vowels=T.without_vowels(RAW), no_spaces=T.without_spaces(RAW), digits=T.to_persian_digits(RAW)),
-        "number_words": _each(spelled=T.numbers_as_words(RAW), normalized=T.Profile(collapse=False)(RAW)),
-        "fingerprint": _each(letters=T.letters_only(RAW), fingerprint=T.fingerprint(T.Profile()(RAW))),
-        "text_sizes": _each(n_chars=T.char_count(safe), n_words=T.word_count(safe), short=T.is_short(safe)),
-        "audio_keys": lambda spark, sf: clips(spark, sf).select("id", F.coalesce(F.when(F.length("audio.bytes") > 0, F.md5("audio.bytes")), F.nullif(F.col("audio.path"), F.lit("")), F.lit("none")).alias("audio_key")),
-        "normalize_residue": _residue,
-    }
 
+def audio_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.coalesce(F.when(F.length("audio.bytes") > 0, F.md5("audio.bytes")), F.nullif(F.col("audio.path"), F.lit("")), F.lit("none"))
+    return clips(spark, sf).select("id", key.alias("audio_key"))
 
-def _residue(spark: SparkSession, sf: str) -> DataFrame:
-    from corpusloom.operators.guards import residue
 
-    return residue(clips(spark, sf).select(T.Profile()(RAW).alias("t")), "t")
+def normalize_residue(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(clips(spark, sf).select(T.Profile()(F.col("text_raw")).alias("t")), "t")
 
 
-QUERIES = queries()
+def _sizes(x: Column) -> dict[str, Column]:
+    t = T.null_safe(x)
+    return {"n_chars": T.char_count(t), "n_words": T.word_count(t), "short": T.is_short(t)}
+
+
+QUERIES = {
+    "scan_project": scan_project,
+    "text_audit": text_audit,
+    "text_normalize": _each(lambda x: {"persian": T.to_persian(x), "bare": T.without_marks(x), "collapsed": T.collapsed(x), "scoring": T.for_scoring(T.null_safe(x))}),
+    "text_normalize_alt": _each(lambda x: {"extended": T.Profile(extended=True)(x), "no_vowels": T.without_vowels(x), "no_spaces": T.without_spaces(x), "digits": T.to_persian_digits(x)}),
+    "number_words": _each(lambda x: {"spelled": T.numbers_as_words(x), "normalized": T.Profile(collapse=False)(x)}),
+    "fingerprint": _each(lambda x: {"letters": T.letters_only(x), "fingerprint": T.fingerprint(T.Profile()(x))}),
+    "text_sizes": _each(_sizes),
+    "audio_keys": audio_keys,
+    "normalize_residue": normalize_residue,
+}
 _N = Q.null_safe("text_raw")
 SQL = {
     "scan_project": f"SELECT id, {_N} AS text, duration FROM raw_clips",

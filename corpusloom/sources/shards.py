@@ -51,7 +51,8 @@ def read_labels(spark: SparkSession, path: str, schema: T.StructType = LABELS, n
     header = require_columns(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).limit(0), *needed)
     kinds = {f.name: f.dataType for f in schema.fields}
     full = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header.columns])
-    return spark.read.schema(full).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return spark.read.schema(full).options(header=True, escape='"', multiLine=True, **blanks).csv(path)
 
 
 def usable_labels(labels: DataFrame, text: str = "cleaned_text") -> DataFrame:

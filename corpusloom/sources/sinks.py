@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame
 log = logging.getLogger(__name__)
 
 
+def _csv(df: DataFrame, path: str) -> None:
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # outer blanks are part of a text
+    df.write.mode("overwrite").options(header=True, escape='"', emptyValue='""', **blanks).csv(path)
+
+
 def write_csv(df: DataFrame, path: str, backup: str | None = None) -> None:
     """Also to ``backup``; a failure there is only logged."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option("emptyValue", '""').csv(path)
+    _csv(df, path)
     if backup:
         try:
-            df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(backup)
+            _csv(df, backup)
         except Exception as e:  # noqa: BLE001
             log.warning("backup to %s failed: %s", backup, e)
 
