@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
-from corpusloom.llm import stream
+from corpusloom.llm import forms, stream
 
 BUCKETS = 1 << 17
 RANK, PASSES, REFINEMENTS = 48, 4, 2
@@ -36,6 +36,9 @@ STRONG, WEAK = 1.5, 0.75
 SIMILAR, CLOSE = 0.15, 0.6
 SENTENCE, DOC = 10, 1
 CHUNK = 1_000_000
+LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Numbers in the dense block that a few documents are multiplied as.
+BLOCK = 4_000_000
 # Inflection endings of Persian nouns and adjectives.
 ENDINGS = re.compile("(?:هایشان|هایمان|هایتان|هایی|هایش|هایم|هایت|های|ها|شان|مان|تان|ترین|تر)$")
 
@@ -56,52 +59,65 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) * 2654435761 % (1 << 32) >> 15
 
 
-def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> list[list[list[int]]]:
-    """For each text its sentences as lists of terms."""
-    from corpusloom.llm import forms
-
+def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(terms of all sentences, sizes of the sentences, terms and sentences of each text)."""
     texts = [t.replace("\x01", " ") for t in texts]
     raw, starts = stream.codes(texts)
-    sym = lut[raw]
-    special = np.flatnonzero(sym == stream.SPECIAL)
-    if len(special):
-        for r in np.unique(np.searchsorted(starts, special, "right") - 1):
-            texts[r] = forms.shape(texts[r])
+    special = np.flatnonzero(lut[raw] == stream.SPECIAL)
+    for r in np.unique(np.searchsorted(starts, special, "right") - 1):
+        texts[r] = forms.shape(texts[r])
     raw, _ = stream.codes(["\x01".join(texts)])
     sym = lut[raw]
     sym[sym == stream.SPECIAL] = stream.SPACE
     text = sym[sym != 0].astype("<u4").tobytes().decode("utf-32-le")
-    out = []
+    term = memo.__getitem__
+    flat: list[int] = []
+    sizes: list[int] = []
+    n_terms, n_sentences = [], []
     for doc in text.split("\x01"):
-        sentences = []
+        t, n = len(flat), len(sizes)
         for s in doc.split("\n"):
             words = s.split()
             if len(words) >= MIN_WORDS:
-                ids = []
-                for w in words:
-                    b = memo.get(w)
-                    if b is None:
-                        if len(memo) > 500_000:
-                            memo.clear()
-                        b = memo[w] = bucket(w)
-                    ids.append(b)
-                sentences.append(ids)
-        out.append(sentences)
-    return out
+                flat += map(term, words)
+                sizes.append(len(words))
+        n_terms.append(len(flat) - t)
+        n_sentences.append(len(sizes) - n)
+    return flat, sizes, n_terms, n_sentences
+
+
+def _offsets(sizes) -> pa.Array:
+    out = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=out[1:])
+    return pa.array(out)
 
 
 def _list(rows: list[np.ndarray], kind) -> pa.ListArray:
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
     flat = np.concatenate(rows) if rows else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind)))
+    return pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), pa.array(flat.astype(kind)))
+
+
+def mostly_latin(text: str) -> bool:
+    """Whether most of a text's visible characters are plain Latin letters."""
+    plain = text.encode("ascii", "ignore")
+    return 2 * (len(plain) - len(plain.translate(None, LETTERS))) > len(text) - text.count(" ")
+
+
+class Memo(dict):
+    """Terms of words seen so far; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = b = bucket(word)
+        return b
 
 
 TERMS = "doc_id bigint, latin boolean, terms array<int>, sizes array<int>, u array<int>, n array<int>"
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lut, memo = _lut(), {}
+    lut, memo = _lut(), Memo()
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
         lo = 0
@@ -110,17 +126,16 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while hi < len(ids) and (hi == lo or size + len(texts[hi]) <= CHUNK):
                 size += len(texts[hi])
                 hi += 1
-            latin, flat, sizes, u, n = [], [], [], [], []
-            for t, doc in zip(texts[lo:hi], tokens(texts[lo:hi], lut, memo), strict=True):
-                own = np.array([x for s in doc for x in s], np.int32)
-                kinds, counts = np.unique(own, return_counts=True)
-                some = t[:4000:7]  # the script of a text shows in any stretch of it
-                latin.append(sum("a" <= c.lower() <= "z" for c in some) * 2 > sum(c.isalpha() for c in some))
-                flat.append(own)
-                sizes.append(np.array([len(s) for s in doc], np.int32))
-                u.append(kinds)
-                n.append(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi], pa.int64()), pa.array(latin), *(_list(x, np.int32) for x in (flat, sizes, u, n))], ["doc_id", "latin", "terms", "sizes", "u", "n"])
+            part = texts[lo:hi]
+            flat, sizes, n_terms, n_sentences = tokens(part, lut, memo)
+            terms = np.array(flat, np.int32)
+            # Terms and counts of all documents of the chunk at once.
+            kinds, counts = np.unique(np.repeat(np.arange(len(part)), n_terms) * BUCKETS + terms, return_counts=True)
+            n_kinds = np.bincount(kinds // BUCKETS, minlength=len(part))
+            lists = ((n_terms, terms), (n_sentences, np.array(sizes, np.int32)), (n_kinds, (kinds % BUCKETS).astype(np.int32)), (n_kinds, counts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[lo:hi], pa.int64()), pa.array([mostly_latin(t) for t in part]), *(pa.ListArray.from_arrays(_offsets(k), pa.array(v)) for k, v in lists)], ["doc_id", "latin", "terms", "sizes", "u", "n"]
+            )
             lo = hi
 
 
@@ -151,14 +166,32 @@ def weighted(b: pa.RecordBatch, space: Space) -> tuple[np.ndarray, np.ndarray, n
     return row, col, (x / norm[row]).astype(np.float32)
 
 
-def embed(b: pa.RecordBatch, space: Space) -> tuple[np.ndarray, tuple]:
-    """The rows of X Q of a batch, and its weights."""
-    row, col, x = weighted(b, space)
+def dense(row: np.ndarray, col: np.ndarray, x: np.ndarray, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, matrix) of a few documents at a time over the columns they use, for matrix products."""
+    if not len(row):
+        return
+    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    ends = np.append(heads[1:], len(row))
+    stack = [(lo, min(lo + rows, len(heads))) for lo in range(0, len(heads), rows)][::-1]
+    while stack:
+        lo, hi = stack.pop()
+        s = slice(heads[lo], ends[hi - 1])
+        used, at = np.unique(col[s], return_inverse=True)
+        if hi - lo > 1 and (hi - lo) * len(used) > BLOCK:
+            mid = (lo + hi) // 2
+            stack += [(mid, hi), (lo, mid)]
+            continue
+        m = np.zeros((hi - lo, len(used)), np.float32)
+        m[np.repeat(np.arange(hi - lo), ends[lo:hi] - heads[lo:hi]), at] = x[s]
+        yield row[heads[lo:hi]], used, m
+
+
+def embed(b: pa.RecordBatch, space: Space) -> np.ndarray:
+    """The rows of X Q of a batch."""
     out = np.zeros((b.num_rows, space.basis.shape[1]), np.float32)
-    if len(row):
-        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        out[row[heads]] = np.add.reduceat(space.basis[col] * x[:, None], heads)
-    return out, (row, col, x)
+    for rows, used, m in dense(*weighted(b, space)):
+        out[rows] = m @ space.basis[used]
+    return out
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -176,14 +209,9 @@ def _power(table: DataFrame, space: Space) -> np.ndarray:
         s = sent.value
         z, used = np.zeros(s.basis.shape, np.float32), np.zeros(len(s.basis), bool)
         for b in _small(batches):
-            y, (row, col, x) = embed(b, s)
-            if not len(row):
-                continue
-            by = np.argsort(col, kind="stable")
-            row, col, x = row[by], col[by], x[by]
-            heads = np.flatnonzero(np.append(True, col[1:] != col[:-1]))
-            z[col[heads]] += np.add.reduceat(y[row] * x[:, None], heads)
-            used[col[heads]] = True
+            for _, cols, m in dense(*weighted(b, s)):
+                z[cols] += m.T @ (m @ s.basis[cols])
+                used[cols] = True
         at = np.flatnonzero(used)
         for lo in range(0, len(at), 4096):
             own = at[lo : lo + 4096]
@@ -252,7 +280,7 @@ def _sums(table: DataFrame, space: Space, pick, groups: int, extra: str | None =
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, c = np.zeros((groups, k)), np.zeros(groups)
         for b in _small(batches):
-            y, _ = embed(b, sent.value)
+            y = embed(b, sent.value)
             row, group = pick(b, y)
             np.add.at(s, group, y[row])
             c += np.bincount(group, minlength=groups)
@@ -349,7 +377,7 @@ def shares(table: DataFrame, space: Space, subjects: Subjects) -> DataFrame:
             weight = np.add.reduceat(load, heads) if len(heads) else np.zeros((0, width), np.float32)
             doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
             n = np.bincount(doc, minlength=b.num_rows)
-            y, _ = embed(b, sp)
+            y = embed(b, sp)
             cos = np.full((b.num_rows, width), -1.0)
             for c, v in enumerate(_similar(b, y, su).T):
                 cos[:, su.subject[c]] = np.maximum(cos[:, su.subject[c]], v)
