@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
+from corpusloom.llm.subjects import SHARE, mostly_latin, subject_shares
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to the byte-level vocabularies.
@@ -46,7 +47,7 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
 
 
 def token_counts(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus n_tokens and latin (whether most letters are Latin). Null texts have no tokens."""
+    """``keep`` plus n_tokens and latin (whether most visible characters are Latin letters). Null texts have no tokens."""
     spark = documents.sparkSession
     with open(tokenizer, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())  # the vocabulary file, about 1 MB
@@ -65,8 +66,7 @@ def token_counts(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, ke
             for t in b.column("__text").to_pylist():
                 t = t or ""
                 n.append(sum(len(enc.encode_ordinary(p)) for p in pieces(t)))
-                some = t[:: max(1, len(t) // 256)]
-                latin.append(sum("a" <= c.lower() <= "z" for c in some) * 2 > sum(c.isalpha() for c in some))
+                latin.append(mostly_latin(t))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(latin)], [*keep, "n_tokens", "latin"])
 
     return df.mapInArrow(run, schema)
@@ -181,8 +181,6 @@ def language(tag: Column, latin: Column) -> Column:
 
 def sized_documents(spark: SparkSession, sf: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Documents of the mix's sources with tokens, language and topic (their largest subject area, or none)."""
-    from corpusloom.llm.subjects import SHARE, subject_shares
-
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     counted = token_counts(read("documents").filter(F.col("source").isNotNull()), "text", tokenizer, ("doc_id", "source", "lang"))
     counted = counted.select("doc_id", "source", language(F.col("lang"), F.col("latin")).alias("language"), "n_tokens")
