@@ -14,6 +14,7 @@ sentences deal with it.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,16 +32,20 @@ RANK, PASSES, REFINEMENTS = 48, 4, 2
 MIN_DOCS, MAX_SHARE = 5, 0.3
 #: At most so many label rows are used, those of smallest hash of the document id.
 MAX_LABELS = 100_000
+#: Documents labelled with no subject that are enough to take the background from.
+LEAST_PLAIN = 20
 SHARE, MIN_WORDS = 0.25, 3
 STRONG, WEAK = 1.5, 0.75
 SIMILAR, CLOSE = 0.15, 0.6
 SENTENCE, DOC = 10, 1
 CHUNK = 1_000_000
 LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WIDE = re.compile("[！-～]")
 #: Numbers in the dense block that a few documents are multiplied as.
 BLOCK = 4_000_000
-# Inflection endings of Persian nouns and adjectives.
-ENDINGS = re.compile("(?:هایشان|هایمان|هایتان|هایی|هایش|هایم|هایت|های|ها|شان|مان|تان|ترین|تر)$")
+# Inflection endings of Persian nouns and adjectives; the letters a stem needs are two before plural
+# endings and three before the others.
+ENDINGS = re.compile("(?<=..)(?:هایشان|هایمان|هایتان|هایی|هایش|هایم|هایت|های|ها)$|(?<=...)(?:شان|مان|تان|ترین|تر)$")
 
 
 def _lut() -> np.ndarray:
@@ -52,15 +57,14 @@ def _lut() -> np.ndarray:
 
 
 def bucket(word: str) -> int:
-    """The term of a folded word: its ending is cut where at least three letters remain."""
-    m = ENDINGS.search(word)
-    if m and m.start() >= 3:
+    """The term of a folded word: its endings are cut one after the other."""
+    while m := ENDINGS.search(word):
         word = word[: m.start()]
     return zlib.crc32(word.encode()) * 2654435761 % (1 << 32) >> 15
 
 
-def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(terms of all sentences, sizes of the sentences, terms and sentences of each text)."""
+def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[list[int], list[int], list[int], list[int], np.ndarray]:
+    """(terms of all sentences, sizes of the sentences; terms and sentences of each text, and whether most of its letters are Latin)."""
     texts = [t.replace("\x01", " ") for t in texts]
     raw, starts = stream.codes(texts)
     special = np.flatnonzero(lut[raw] == stream.SPECIAL)
@@ -71,6 +75,10 @@ def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[lis
     sym[sym == stream.SPECIAL] = stream.SPACE
     text = sym[sym != 0].astype("<u4").tobytes().decode("utf-32-le")
     term = memo.__getitem__
+    ends = np.flatnonzero(sym == DOC)
+    bounds = np.concatenate([[0], ends, [len(sym)]])
+    count = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[bounds])
+    latin = 2 * count((sym >= 97) & (sym <= 122)) > count(sym > SENTENCE) - count(sym == stream.SPACE)
     flat: list[int] = []
     sizes: list[int] = []
     n_terms, n_sentences = [], []
@@ -83,7 +91,7 @@ def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[lis
                 sizes.append(len(words))
         n_terms.append(len(flat) - t)
         n_sentences.append(len(sizes) - n)
-    return flat, sizes, n_terms, n_sentences
+    return flat, sizes, n_terms, n_sentences, latin
 
 
 def _offsets(sizes) -> pa.Array:
@@ -99,6 +107,8 @@ def _list(rows: list[np.ndarray], kind) -> pa.ListArray:
 
 def mostly_latin(text: str) -> bool:
     """Whether most of a text's visible characters are plain Latin letters."""
+    if WIDE.search(text):
+        text = unicodedata.normalize("NFKC", text)
     plain = text.encode("ascii", "ignore")
     return 2 * (len(plain) - len(plain.translate(None, LETTERS))) > len(text) - text.count(" ")
 
@@ -127,14 +137,14 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(texts[hi])
                 hi += 1
             part = texts[lo:hi]
-            flat, sizes, n_terms, n_sentences = tokens(part, lut, memo)
+            flat, sizes, n_terms, n_sentences, latin = tokens(part, lut, memo)
             terms = np.array(flat, np.int32)
             # Terms and counts of all documents of the chunk at once.
             kinds, counts = np.unique(np.repeat(np.arange(len(part)), n_terms) * BUCKETS + terms, return_counts=True)
             n_kinds = np.bincount(kinds // BUCKETS, minlength=len(part))
             lists = ((n_terms, terms), (n_sentences, np.array(sizes, np.int32)), (n_kinds, (kinds % BUCKETS).astype(np.int32)), (n_kinds, counts.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi], pa.int64()), pa.array([mostly_latin(t) for t in part]), *(pa.ListArray.from_arrays(_offsets(k), pa.array(v)) for k, v in lists)], ["doc_id", "latin", "terms", "sizes", "u", "n"]
+                [pa.array(ids[lo:hi], pa.int64()), pa.array(latin), *(pa.ListArray.from_arrays(_offsets(k), pa.array(v)) for k, v in lists)], ["doc_id", "latin", "terms", "sizes", "u", "n"]
             )
             lo = hi
 
@@ -264,8 +274,8 @@ class Subjects:
     subject: np.ndarray  # index into names of each centroid
     latin: np.ndarray
     centroid: np.ndarray
-    mean: np.ndarray  # of all documents: row 0 other scripts, row 1 Latin
-    load: np.ndarray | None = None  # columns x len(names)
+    mean: np.ndarray  # of the documents labelled with no subject, else of all: row 0 other scripts, row 1 Latin
+    load: np.ndarray | None = None  # script x columns x len(names)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -305,6 +315,10 @@ def fit_subjects(table: DataFrame, space: Space, labels: DataFrame, areas: DataF
     sums, counts = _sums(table, space, lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int)), 2)
     mean = sums / np.maximum(counts, 1)[:, None]
     width = len(names)
+    plain = labels.groupBy("doc_id").agg(F.count("subject").alias("n")).filter("n = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
+    sums, counts = _sums(table.join(plain.select("doc_id"), "doc_id", "left_semi"), space, lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int)), 2)
+    enough = counts >= LEAST_PLAIN
+    mean[enough] = sums[enough] / counts[enough, None]
 
     def labelled(b: pa.RecordBatch, y: np.ndarray):
         s, starts = _lists(b.column("s"))
@@ -347,14 +361,14 @@ def _nearest(b: pa.RecordBatch, y: np.ndarray, s: Subjects) -> tuple[np.ndarray,
 
 
 def _loadings(space: Space, s: Subjects, typical: int = 16, least: float = 0.35) -> np.ndarray:
-    """How much each term speaks for each subject: its loading on the subject's centroids over that of a typical
-    term of it (the median of the ``typical`` highest), between 0 and 1; below ``least`` it counts as none."""
+    """How much each term speaks for each subject in texts of either script: its loading on the subject's centroid
+    over that of a typical term of it (the median of the ``typical`` highest), between 0 and 1; below ``least`` it counts as none."""
     raw = space.basis @ s.centroid.T
-    out = np.zeros((len(raw), len(s.names)), np.float32)
-    for c, subject in enumerate(s.subject):
+    out = np.zeros((2, len(raw), len(s.names)), np.float32)
+    for c, (subject, latin) in enumerate(zip(s.subject, s.latin, strict=True)):
         scale = np.median(np.sort(raw[:, c])[::-1][: min(typical, len(raw))])
         if scale > 0:
-            out[:, subject] = np.maximum(out[:, subject], np.clip(raw[:, c] / scale, 0, 1))
+            out[latin, :, subject] = np.clip(raw[:, c] / scale, 0, 1)
     out[out < least] = 0
     return out
 
@@ -373,9 +387,10 @@ def shares(table: DataFrame, space: Space, subjects: Subjects) -> DataFrame:
             col = sp.index[flat]
             heads = np.zeros(len(sizes), np.int64)
             np.cumsum(sizes[:-1], out=heads[1:])
-            load = np.where((col >= 0)[:, None], su.load[np.maximum(col, 0)], np.float32(0))
-            weight = np.add.reduceat(load, heads) if len(heads) else np.zeros((0, width), np.float32)
             doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
+            script = np.repeat(b.column("latin").to_numpy(zero_copy_only=False).astype(int)[doc], sizes)
+            load = np.where((col >= 0)[:, None], su.load[script, np.maximum(col, 0)], np.float32(0))
+            weight = np.add.reduceat(load, heads) if len(heads) else np.zeros((0, width), np.float32)
             n = np.bincount(doc, minlength=b.num_rows)
             y = embed(b, sp)
             cos = np.full((b.num_rows, width), -1.0)
