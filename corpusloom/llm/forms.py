@@ -117,7 +117,7 @@ def shape(text: str | None) -> str | None:
     text = _drawn(text, first, forms) if PRESENTATION.search(text) else text.translate(first)
     text = unicodedata.normalize("NFC", text).translate(second)
     if "ٔ" in text or "ٕ" in text:
-        text = HAMZA.sub(r"\1", text)
+        text = HAMZA.sub(r"\1", text).replace(HEH + "ٔ", "ۀ")
     return JOINERS.sub(_kept_joiner, text).strip(" \n")
 
 

@@ -5,7 +5,7 @@ from corpusloom.llm import equal_forms, forms, lookalikes
 
 SAME = [
     ("خانه‌ها", "ﺧﺎﻧﻪﻫﺎ"), ("ز‌یر", "زیر"), ("آب", "آب"), ("رائ", "رای"), ("ده‌ها", "دەها"), ("  x… ", "x..."), ("ｎａïｖe", "naïve"), ("خانه‌‌ها​", "خانه‌ها"), ("۱۲", "١٢"),
-    ("می خواهم", "می خواهم"), ("ك ي", "ک ی"), ("ﻻ", "لا"), ("مَّ", "مَّ"), ("a\r\nb", "a\nb"), ("خانه‌ ", "خانه"),
+    ("می خواهم", "می خواهم"), ("ك ي", "ک ی"), ("ﻻ", "لا"), ("مَّ", "مَّ"), ("a\r\nb", "a\nb"), ("خانه‌ ", "خانه"), ("خانهٔ", "خانۀ"),
 ]
 OTHER = [("خانه‌ها", "خانهها"), ("خانه‌ها", "خانه ها"), ("مَن", "من"), ("A", "a"), ("a  b", "a b"), ("a\nb", "a b"), ("۴", "٤"), ("۱", "1"), ("a,", "a،"), ("cafe", "café")]
 
