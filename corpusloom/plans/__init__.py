@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("hotkeys", "texts", "cleaning", "measures", "relations", "signals")
+MODULES = ("hotkeys", "texts", "cleaning", "measures", "relations", "signals", "streams")
 
 
 def _merged(what: str) -> dict:
