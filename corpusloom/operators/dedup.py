@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CAP = 3
+from corpusloom import runtime
+from corpusloom.operators.skew import join_per_key
+
+CAP, KEY = 3, "__key"
 
 
 def exact_dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -36,13 +39,13 @@ def groups(df: DataFrame, key: str, text: str, order: str, short: Column | None
 
 def capped(df: DataFrame, key: str, text: str, order: str, cap: int = CAP) -> DataFrame:
     """Groups whose first text is short keep all rows, the others their first ``cap``."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    own = groups(df, key, text, order).select(F.col(key).alias("__key"), "short")
-    first = df.withColumn("__rank", rank).filter(F.col("__rank") <= cap).drop("__rank")
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    kept_long = first.join(own.filter(~F.col("short")), same, "left_semi")
-    kept_short = df.join(own.filter("short"), same, "left_semi")
-    return kept_short.unionByName(kept_long)
+    hashed = df.withColumn(KEY, F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("")))  # null is a group too
+    own = runtime.table(groups(hashed, KEY, text, order).select(KEY, "n", "short"))
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(order))
+    first = hashed.withColumn("__rank", rank).filter(F.col("__rank") <= cap).drop("__rank")
+    kept_long = first.join(own.filter("NOT short").select(KEY), KEY, "left_semi")
+    kept_short = join_per_key(hashed, own.filter("short").drop("short"), [KEY], "n", F.col(order))
+    return kept_short.select(*df.columns).unionByName(kept_long.select(*df.columns))
 
 
 def excess_count(df: DataFrame, key: str, text: str, order: str, cap: int = CAP) -> DataFrame:
