@@ -22,6 +22,7 @@ from corpusloom import runtime
 from corpusloom.llm import forms, stream
 from corpusloom.llm.arrow import with_columns
 from corpusloom.llm.lookalikes import latin_words, repair
+from corpusloom.operators.skew import join_per_key
 
 MIN_LETTERS = 15
 MASK = (1 << 62) - 1
@@ -183,14 +184,16 @@ def copies(hashed: DataFrame, records: bool = False) -> DataFrame:
     """(tab, keep_id, copy_id): every record that is a copy of one with a smaller id.
 
     Rows repeated under one id count once (the same id never is its own copy). Groups may hold any share of the
-    rows: the smallest id of each group is an aggregate with map-side combine, the join that carries it back
-    meets one row per group, and the keeper's text reaches the copies through that same side.
+    rows: the smallest id of each group is an aggregate with map-side combine, and it and the keeper's text reach
+    the copies by joins that spread hot groups.
     """
     group = ["tab", "h", "n"]
-    firsts = hashed.groupBy(*group).agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).filter("last > keep_id").drop("last")
-    members = runtime.table(hashed.join(firsts, group).select(*group, "id", "text", "keep_id"))
+    firsts = hashed.groupBy(*group).agg(F.min("id").alias("keep_id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("held")).filter("last > keep_id").drop("last")
+    firsts = runtime.table(firsts)
+    members = runtime.table(join_per_key(hashed, firsts, group, "held", F.col("id")).select(*group, "id", "text", "keep_id"))
     keepers = members.filter("id = keep_id").groupBy(*group).agg(F.first("text").alias("keep_text"))
-    pairs = members.filter("id > keep_id").join(keepers, group).select("tab", "keep_id", F.col("id").alias("copy_id"), "h", "n", "text", "keep_text")
+    keepers = runtime.table(keepers.join(firsts.select(*group, "held"), group))
+    pairs = join_per_key(members.filter("id > keep_id"), keepers, group, "held", F.col("id")).select("tab", "keep_id", F.col("id").alias("copy_id"), "h", "n", "text", "keep_text")
     checked = runtime.table(pairs.mapInArrow(lambda b: _verified(b, records), "tab string, keep_id bigint, copy_id bigint, h bigint, n int, digest string"))
     good = checked.filter("digest IS NULL").select("tab", "keep_id", "copy_id")
     again = checked.filter("digest IS NOT NULL")

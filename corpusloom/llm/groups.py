@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 from corpusloom.llm.dress import text_digests
+from corpusloom.operators.skew import join_per_key
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 MIN_LETTERS = 15
@@ -28,12 +29,12 @@ MAX_ROUNDS = 64
 def links(members: DataFrame) -> DataFrame:
     """(a, b): edges a > b between an ``id`` and the smallest id that holds the same (``kind``, ``k``).
 
-    Null ids and null keys link nothing. The minimum is taken with map-side combine, and the join back has one
-    row per key on its other side, so a key of a third of all rows is no burden.
+    Null ids and null keys link nothing. The minimum is taken with map-side combine, and the join back spreads hot
+    keys, so a key of a third of all rows is no burden.
     """
     held = members.filter("id IS NOT NULL AND k IS NOT NULL")
-    least = held.groupBy("kind", "k").agg(F.min("id").alias("b"), F.max("id").alias("last")).filter("last > b").drop("last")
-    return held.join(least, ["kind", "k"]).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+    least = held.groupBy("kind", "k").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > b").drop("last")
+    return join_per_key(held, runtime.table(least), ["kind", "k"], "n", F.col("id")).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -46,8 +47,8 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
     clusters = runtime.table(e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct())
     before = None
     for _ in range(max_rounds):
-        least = clusters.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        with_min = clusters.join(least, "v")
+        least = runtime.table(clusters.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        with_min = join_per_key(clusters, least, ["v"], "n", F.col("u"))
         to_min = with_min.select(F.col("m").alias("v"), "u")  # the cluster goes to its minimum
         to_all = with_min.select(F.col("u").alias("v"), F.col("m").alias("u"))  # the minimum to its members
         mine = least.select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 from corpusloom.llm.forms import VOWELS
+from corpusloom.operators.skew import join_per_key
 
 #: Words are ordered by frequency only when they make up at least 1/FREQUENT of all word occurrences; so at most
 #: FREQUENT of them are sent to the executors, however large the vocabulary. Rarer words come first, by hash.
@@ -112,7 +113,7 @@ def fingerprints(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members (id, ..., c), classes (c, n, w)): records with equal word sets form one class, named by its smallest id."""
-    first = rows.groupBy("k").agg(F.min("id").alias("c"))
-    named = runtime.table(rows.join(first, "k").drop("k").distinct())
+    first = runtime.table(rows.groupBy("k").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("rows")))
+    named = runtime.table(join_per_key(rows, first, ["k"], "rows", F.col("id")).drop("k").distinct())
     classes = runtime.table(named.filter("id = c").select("c", F.size("w").alias("n"), "w").distinct())
     return named.drop("w"), classes
