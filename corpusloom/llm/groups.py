@@ -52,7 +52,9 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
         to_min = with_min.select(F.col("m").alias("v"), "u")  # the cluster goes to its minimum
         to_all = with_min.select(F.col("u").alias("v"), F.col("m").alias("u"))  # the minimum to its members
         mine = least.select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
-        clusters = runtime.table(to_min.unionByName(to_all).unionByName(mine).filter("v <> u").distinct())
+        grown = runtime.table(to_min.unionByName(to_all).unionByName(mine).filter("v <> u").distinct())
+        runtime.release(clusters, least)
+        clusters = grown
         now = clusters.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
             break
