@@ -13,8 +13,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom import runtime
-
 SHARE, LEAST, SALTS = 0.001, 100_000, 64
 HOT, SALT = "__hot", "__salt"
 
@@ -36,8 +34,3 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], counted:
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn(SALT, salt).drop(HOT)
     repeated = per_key.withColumn(SALT, F.explode(F.when(F.col(counted) >= bound, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(counted)
     return salted.join(repeated, [*keys, SALT]).drop(SALT)
-
-
-def table_per_key(per_key: DataFrame) -> DataFrame:
-    """``per_key`` as a table of its own, so that both sides of the join are plain exchanges that can be re-planned."""
-    return runtime.table(per_key)

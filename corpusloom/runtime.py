@@ -6,7 +6,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,19 +34,32 @@ def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`table` that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_scratch_path", None):
+            _delete(df.sparkSession, path)
+            _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
 def drop_tables() -> None:
     """Delete the scratch tables written so far."""
     while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
+        _delete(*_scratch.pop())
 
 
 atexit.register(drop_tables)
