@@ -9,6 +9,8 @@ changes. Components then go to splits by weighted rendezvous hashing of their sm
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 MIN_LETTERS = 15
 NOBODY = ("", "unknown")
 #: Components of at least this share of all records are placed one by one; there are at most 1/share of them.
-BIG = 0.002
+BIG = 0.0005
 MAX_ROUNDS = 64
 
 
@@ -69,6 +71,12 @@ def _draw(group: Column, split: str, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(group, F.lit(split), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def _draw_here(group: int, split: str, seed: int) -> float:
+    """The same kind of number on the driver."""
+    h = hashlib.blake2b(f"{group}:{split}:{seed}".encode(), digest_size=8).digest()
+    return ((int.from_bytes(h, "big") >> 11) + 0.5) / float(1 << 53)
+
+
 def rendezvous(group: Column, weights: dict[str, float], seed: int = 42) -> Column:
     """The split of highest score -weight / ln(draw): each split gets its weight's share of the groups, and
     changing one weight moves only groups to or from that split."""
@@ -79,28 +87,28 @@ def rendezvous(group: Column, weights: dict[str, float], seed: int = 42) -> Colu
 def assign(groups: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 42, big: float = BIG) -> DataFrame:
     """(group_id, n, split) for ``groups`` (group_id, n records). No group is divided.
 
-    Groups of at least ``big`` of all records - at most 1/big of them, largest first, ties by id - go one by one
-    to the split that is left with the most room; the rest follows by rendezvous hashing with the room that is
-    left as weights. An empty input gives no rows.
+    Groups of at least ``big`` of all records - at most 1/big of them, largest first, ties by id - are hashed one
+    by one, the weights being the room that each split has left; splits they would overfill take no part, and
+    where all would be overfilled the one with most room takes them. The rest is hashed with the room that is left
+    as weights. An empty input gives no rows.
     """
     if not splits or any(w < 0 for w in splits.values()) or sum(splits.values()) <= 0:
         raise ValueError("splits need weights of at least 0, not all 0")
+    spark = groups.sparkSession
     whole = groups.agg(F.sum("n")).first()[0] or 0
     room = {s: whole * w / sum(splits.values()) for s, w in splits.items()}
-    placed: dict[int, str] = {}
-    for row in groups.filter(F.col("n") >= max(1.0, big * whole)).orderBy(F.desc("n"), "group_id").limit(int(1 / big) + 1).collect():
-        if row.n < 2:
-            continue
-        s = max(room, key=lambda x: room[x])
-        placed[row.group_id] = s
+    placed: list[tuple[int, str]] = []
+    for row in groups.filter(F.col("n") >= max(2.0, big * whole)).orderBy(F.desc("n"), "group_id").limit(int(1 / big) + 1).collect():
+        fits = {s: r for s, r in room.items() if r >= row.n}
+        s = max(fits, key=lambda x: -fits[x] / math.log(_draw_here(row.group_id, x, seed))) if fits else max(room, key=lambda x: room[x])
+        placed.append((row.group_id, s))
         room[s] -= row.n
     weights = {s: max(0.0, r) for s, r in room.items()}
     if sum(weights.values()) <= 0:
         weights = splits
-    split = rendezvous(F.col("group_id"), weights, seed)
-    if placed:
-        split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in placed.items() for x in kv]), F.col("group_id")), split)
-    return groups.select("group_id", "n", split.alias("split"))
+    own = spark.createDataFrame(placed, "group_id long, placed string")  # at most 1/big rows
+    split = F.coalesce("placed", rendezvous(F.col("group_id"), weights, seed))
+    return groups.join(F.broadcast(own), "group_id", "left").select("group_id", "n", split.alias("split"))
 
 
 def keys_of(clips: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
