@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 
 _scratch: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once per application: their Python may not have it on its path."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="corpusloom-ship-")
+        copy = os.path.join(folder, "src")
+        shutil.copytree(here, os.path.join(copy, os.path.basename(here)), ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "corpusloom_package"), "zip", copy))  # served by the driver
+        atexit.register(shutil.rmtree, folder, True)
+        _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
