@@ -14,6 +14,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import forms
+from corpusloom.llm.arrow import with_columns
+
 # Letters of the three scripts that are drawn alike, Latin / Cyrillic / Greek; a dot where there is none.
 LATIN = "aceijopsxyvhABCEHIJKMNOPSTXYZ"
 CYRILLIC = "асеіјорѕхуѵһАВСЕНІЈКМ.ОРЅТХУ."
@@ -23,6 +26,12 @@ EXTRA = {"υ": "u", "ι": "i", "ρ": "p", "κ": "k", "χ": "x", "γ": "y", "ԁ":
 
 SCRIPTS = {"Latin": LATIN, "Cyrillic": CYRILLIC, "Greek": GREEK}
 TOKEN = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{Mn}]+"
+#: A letter of the three scripts; what is most frequent elsewhere is passed over first.
+LETTER = r"[[^\x{0}-@\x{600}-\x{6FF}]&&[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]"
+#: A token as it may be stored: with invisible characters inside.
+STORED = LETTER + r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{Mn}\p{Cf}]*"
+#: A text that may hold mixed tokens.
+OTHER = r"[[^\x{0}-\x{24F}\x{600}-\x{6FF}]&&[\p{IsCyrillic}\p{IsGreek}]]"
 MIXED = r"\p{IsLatin}\p{Mn}*[\p{IsCyrillic}\p{IsGreek}]|\p{IsCyrillic}\p{Mn}*[\p{IsLatin}\p{IsGreek}]|\p{IsGreek}\p{Mn}*[\p{IsLatin}\p{IsCyrillic}]"
 
 
@@ -65,6 +74,12 @@ def latin_words(df: DataFrame, text: str) -> DataFrame:
     return df.filter(has).select(tokens).distinct().filter(~F.col("word").rlike(MIXED))
 
 
+def shaped_words(df: DataFrame, text: str) -> DataFrame:
+    """(word): what :func:`latin_words` gives for the shaped texts. Only the distinct tokens are shaped."""
+    stored = df.select(F.explode(F.regexp_extract_all(text, F.lit(f"({STORED})"), F.lit(1))).alias("stored")).distinct()
+    return latin_words(with_columns(stored, {"shaped": ("string", lambda v: [forms.shape(x) for x in v])}, "stored", drop=("stored",)), "shaped")
+
+
 def repair(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     """``df`` with look-alikes of the mixed tokens in the column ``text`` repaired.
 

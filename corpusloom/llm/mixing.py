@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import runtime
-from corpusloom.llm.subjects import SHARE, mostly_latin, subject_shares
+from corpusloom.llm.subjects import SHARE, mostly_latin, repaired, subject_shares
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to the byte-level vocabularies.
@@ -46,12 +46,13 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
-def token_counts(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus n_tokens and latin (whether most visible characters are Latin letters). Null texts have no tokens."""
+def token_counts(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id",), stored: str | None = None) -> DataFrame:
+    """``keep`` plus n_tokens and latin (whether most visible characters are Latin letters). Null texts have no tokens.
+    Where the column ``stored`` is not null, its text is the one that is counted."""
     spark = documents.sparkSession
     with open(tokenizer, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())  # the vocabulary file, about 1 MB
-    df = documents.select(*keep, F.col(text).alias("__text"))
+    df = documents.select(*keep, F.col(text).alias("__text"), (F.col(stored) if stored else F.lit(None).cast("string")).alias("__stored"))
     from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
     schema = StructType([*df.select(*keep).schema.fields, StructField("n_tokens", LongType()), StructField("latin", BooleanType())])
@@ -63,9 +64,9 @@ def token_counts(documents: DataFrame, text: str, tokenizer: str = TOKENIZER, ke
         enc = tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n, latin = [], []
-            for t in b.column("__text").to_pylist():
+            for t, own in zip(b.column("__text").to_pylist(), b.column("__stored").to_pylist(), strict=True):
                 t = t or ""
-                n.append(sum(len(enc.encode_ordinary(p)) for p in pieces(t)))
+                n.append(sum(len(enc.encode_ordinary(p)) for p in pieces(t if own is None else own)))
                 latin.append(mostly_latin(t))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(latin)], [*keep, "n_tokens", "latin"])
 
@@ -182,9 +183,10 @@ def language(tag: Column, latin: Column) -> Column:
 def sized_documents(spark: SparkSession, sf: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Documents of the mix's sources with tokens, language and topic (their largest subject area, or none)."""
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    counted = token_counts(read("documents").filter(F.col("source").isNotNull()), "text", tokenizer, ("doc_id", "source", "lang"))
+    documents = repaired(read("documents").select("doc_id", "source", "lang", "text"), stored="stored")
+    counted = token_counts(documents.filter(F.col("source").isNotNull()), "text", tokenizer, ("doc_id", "source", "lang"), "stored")
     counted = counted.select("doc_id", "source", language(F.col("lang"), F.col("latin")).alias("language"), "n_tokens")
-    areas = subject_shares(read("documents"), read("subject_labels"), read("subject_areas")).filter(F.col("share") >= SHARE)
+    areas = subject_shares(documents, read("subject_labels"), read("subject_areas"), mend=False).filter(F.col("share") >= SHARE)
     topic = areas.groupBy("doc_id").agg(F.max_by("subject", F.struct("share", "subject")).alias("topic"))
     return runtime.table(counted.join(topic, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none"))))
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import runtime
 from corpusloom.llm import forms, stream
+from corpusloom.llm.arrow import with_columns
+from corpusloom.llm.lookalikes import OTHER, repair, shaped_words
 
 BUCKETS = 1 << 17
 RANK, PASSES, REFINEMENTS = 48, 4, 2
@@ -72,7 +74,8 @@ def tokens(texts: list[str], lut: np.ndarray, memo: dict[str, int]) -> tuple[lis
         texts[r] = forms.shape(texts[r])
     raw, _ = stream.codes(["\x01".join(texts)])
     sym = lut[raw]
-    sym[sym == stream.SPECIAL] = stream.SPACE
+    left = sym == stream.SPECIAL  # letters that stay what they are; combining marks alone are no letters
+    sym[left] = [ord(chr(c).lower()[0]) if chr(c).isalnum() else stream.SPACE for c in raw[left]]
     text = sym[sym != 0].astype("<u4").tobytes().decode("utf-32-le")
     term = memo.__getitem__
     ends = np.flatnonzero(sym == DOC)
@@ -123,6 +126,17 @@ class Memo(dict):
         return b
 
 
+def repaired(documents: DataFrame, text: str = "text", stored: str | None = None) -> DataFrame:
+    """``documents`` with the few texts that hold Greek or Cyrillic letters brought to problem 2's form: shaped, and
+    their look-alikes repaired by the words of all texts. All other texts and columns pass. A column ``stored`` is
+    added on demand, with what these few texts were and null for all others."""
+    own = lambda df, x: df.withColumn(stored, x) if stored else df
+    odd = F.coalesce(F.col(text).rlike(OTHER), F.lit(False))
+    shaped = with_columns(own(documents.filter(odd), F.col(text)), {"__shaped": ("string", lambda v: [forms.shape(x) for x in v])}, text, drop=(text,)).withColumnRenamed("__shaped", text)
+    mended = runtime.table(repair(runtime.table(shaped), text, shaped_words(documents, text)))
+    return own(documents.filter(~odd), F.lit(None).cast("string")).unionByName(mended)
+
+
 TERMS = "doc_id bigint, latin boolean, terms array<int>, sizes array<int>, u array<int>, n array<int>"
 
 
@@ -410,13 +424,13 @@ def shares(table: DataFrame, space: Space, subjects: Subjects) -> DataFrame:
     return table.mapInArrow(run, "doc_id bigint, subject string, share double")
 
 
-def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", mend: bool = True) -> DataFrame:
     """(doc_id, subject, share) for all documents. Null ids and texts take no part; a document without sentences of
     at least MIN_WORDS words has no rows; without labels or documents there are no rows; repeated label rows count
-    once; labels of unknown documents or subjects are passed over."""
+    once; labels of unknown documents or subjects are passed over. Without ``mend`` the texts are taken as repaired."""
     spark = documents.sparkSession
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    table = runtime.table(docs.mapInArrow(_terms, TERMS))
+    table = runtime.table((repaired(docs) if mend else docs).mapInArrow(_terms, TERMS))
     space = fit_space(table)
     if space is not None:
         subjects = fit_subjects(table, space, labels, areas)

@@ -58,3 +58,19 @@ def test_tokens(spark, monkeypatch):
         enc = tiktoken.Encoding("t", pat_str=mixing.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     assert got[3][0] == len(enc.encode_ordinary("hello world again"))
     assert got[1][0] == len(enc.encode_ordinary(long)) == sum(len(enc.encode_ordinary(p)) for p in mixing.pieces(long, 500))
+
+
+@pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no vocabulary file")
+def test_language_by_the_repaired_text(spark, tmp_path):
+    """A spoilt English text goes by Latin letters, but its size is that of the stored text."""
+    spoilt = "реaсе реaсе, реaсе"  # all but the a are Cyrillic
+    tables = {
+        "documents": ([(1, "web", "fa", spoilt), (2, "web", "fa", "peace here"), (3, "web", "fa", "سلام دنیا"), (4, "web", "fa", None)], "doc_id long, source string, lang string, text string"),
+        "subject_labels": ([(2, "a")], "doc_id long, subject string"),
+        "subject_areas": ([("a",)], "subject string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: (r.language, r.n_tokens) for r in mixing.sized_documents(spark, str(tmp_path)).collect()}
+    stored = {r.doc_id: r.n_tokens for r in mixing.token_counts(spark.createDataFrame(*tables["documents"]), "text").collect()}
+    assert got == {1: ("en", stored[1]), 2: ("en", stored[2]), 3: ("fa", stored[3]), 4: ("fa", 0)}

@@ -60,3 +60,21 @@ def test_endings(word, stem):
 def test_tokens():
     flat, sizes, terms, sentences, latin = subjects.tokens(["یک دو سه. چهار پنج شش هفت\nهشت نه", "", "one two three?"], subjects._lut(), subjects.Memo())
     assert sizes == [3, 4, 3] and terms == [7, 0, 3] and sentences == [2, 0, 1] and len(flat) == 10 and latin.tolist() == [False, False, True]
+
+
+def test_look_alikes_are_repaired(spark):
+    """A word spoilt with Cyrillic letters gives its own term; letters that are no look-alikes stay a word."""
+    d = spark.createDataFrame([(1, "the volleyball match, referee"), (2, "the vоllеуbаll mаtch, rеfеrее"), (3, "слово и ещё слово"), (4, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.text for r in subjects.repaired(d).collect()}
+    assert rows == {1: "the volleyball match, referee", 2: "the volleyball match, referee", 3: "слово и ещё слово", 4: None}
+    terms = {r.doc_id: (r.terms, r.latin) for r in subjects.repaired(d.filter("text IS NOT NULL")).mapInArrow(subjects._terms, subjects.TERMS).collect()}
+    assert terms[1] == terms[2] == ([subjects.bucket(w) for w in ("the", "volleyball", "match", "referee")], True)
+    assert terms[3] == ([subjects.bucket(w) for w in ("слово", "и", "ещё", "слово")], False)
+
+
+def test_words_of_shaped_texts(spark):
+    """Full-width, decomposed and invisibly parted words attest their plain form."""
+    from corpusloom.llm import lookalikes
+
+    d = spark.createDataFrame([("ｈａｒｖｅｓｔ",), ("cafe\u0301",), ("trac\u200btor",), ("plain",), ("بدون",), (None,)], "text string")
+    assert {r.word for r in lookalikes.shaped_words(d, "text").collect()} == {"harvest", "café", "tractor", "plain"}
