@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 
 def _le(data: Column, at: int) -> Column:
@@ -33,6 +34,44 @@ def is_corrupt(data: Column) -> Column:
     return data.isNull() | (F.length(data) == 0)
 
 
+def has_header(data: bytes | None) -> bool:
+    """Whether the chunks of a WAV, of any encoding, hold a format and then samples. What is held of these is not asked."""
+    if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return False
+    at, form = 12, False
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"fmt " and size >= 16 and at + 24 <= len(data):
+            channels, rate = struct.unpack("<HI", data[at + 10 : at + 16])
+            form = channels > 0 and rate > 0
+        elif name == b"data":
+            return form
+        at += 8 + size + (size & 1)
+    return False
+
+
+def has_plain_header(data: Column) -> Column:
+    """A header of the common layout with channels and a rate."""
+    return is_plain(data) & (F.hex(F.substring(data, 23, 2)) != "0000") & (_le(data, 25) > 0)
+
+
+def with_unreadable(df: DataFrame, data: str, made: str, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``df`` plus the boolean ``made``: no bytes at all, or no WAV header that can be read from the
+    binary column ``data``. Only bytes that have not the common layout leave the scan."""
+    b = F.col(data)
+    rest = F.when(~is_corrupt(b) & ~has_plain_header(b), b).alias("__rest")
+    source = df.select(*columns, is_corrupt(b).alias(made), rest)
+    names = source.columns[:-1]
+    schema = StructType(source.schema.fields[:-2]).add(made, BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            bad = [c.as_py() or (r.is_valid and not has_header(r.as_py())) for c, r in zip(x.column(made), x.column("__rest"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-1]), pa.array(bad, pa.bool_())], names)
+
+    return source.mapInArrow(run, schema)
+
+
 def parse(data: bytes | None) -> tuple[int, int, int, int, bytes] | None:
     """(rate, channels, bits, bytes declared, bytes held) by walking the chunks; None if it is no PCM WAV."""
     if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":

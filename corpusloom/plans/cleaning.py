@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.wav import is_corrupt
+from corpusloom.functions.wav import with_unreadable
 from corpusloom.operators import dedup, metrics
 from corpusloom.plans import sqltext as Q
 
 
-def prepared(spark: SparkSession, sf: str, collapse: bool = True) -> DataFrame:
-    """id, duration, audio key, null-safe text, its normal form and fingerprint: the audio bytes stay in the scan."""
+def prepared(spark: SparkSession, sf: str, collapse: bool = True, headers: bool = True) -> DataFrame:
+    """id, duration, audio key, null-safe text, its normal form and fingerprint, and with ``headers`` whether the clip
+    is corrupt: the audio bytes stay in the scan, but for those of another layout than the common one."""
     df = spark.read.parquet(f"{sf}/raw_clips.parquet")
     key = F.coalesce(F.when(F.length("audio.bytes") > 0, F.md5("audio.bytes")), F.nullif(F.col("audio.path"), F.lit("")), F.lit("none"))
-    df = df.select("id", "duration", key.alias("audio_key"), is_corrupt(F.col("audio.bytes")).alias("corrupt"), T.null_safe(F.col("text_raw")).alias("text_raw"))
+    columns = ("id", "duration", key.alias("audio_key"), T.null_safe(F.col("text_raw")).alias("text_raw"))
+    df = with_unreadable(df, "audio.bytes", "corrupt", *columns) if headers else df.select(*columns)
     normal = T.Profile(collapse=collapse)(F.col("text_raw"))
     return df.withColumn("normalized", normal).withColumn("fingerprint", T.fingerprint(F.col("normalized")))
 
@@ -47,7 +49,7 @@ def funnel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _exact(spark, sf):
-    return once(prepared(spark, sf)).select("id", "audio_key", "text_raw", "duration")
+    return once(prepared(spark, sf, headers=False)).select("id", "audio_key", "text_raw", "duration")
 
 
 def _capped(spark, sf):
@@ -65,11 +67,11 @@ def _after(spark, sf):
 
 QUERIES = {
     "exact_dedup": _exact,
-    "duplicate_counts": lambda spark, sf: dedup.duplicate_count(prepared(spark, sf), "audio_key", "text_raw"),
+    "duplicate_counts": lambda spark, sf: dedup.duplicate_count(prepared(spark, sf, headers=False), "audio_key", "text_raw"),
     "fingerprint_cap": _capped,
     "dup_excess_count": lambda spark, sf: dedup.excess_count(once(valid(prepared(spark, sf))), "fingerprint", "normalized", "id"),
-    "dup_breakdown": lambda spark, sf: dedup.breakdown(once(prepared(spark, sf, False)), "fingerprint", "normalized", "id"),
-    "frequency_table": lambda spark, sf: dedup.frequencies(prepared(spark, sf), "fingerprint"),
+    "dup_breakdown": lambda spark, sf: dedup.breakdown(once(prepared(spark, sf, False, False)), "fingerprint", "normalized", "id"),
+    "frequency_table": lambda spark, sf: dedup.frequencies(prepared(spark, sf, headers=False), "fingerprint"),
     "dedup_before_filter": _before,
     "dedup_after_filter": _after,
     "cleaning_funnel": funnel,

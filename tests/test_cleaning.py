@@ -47,3 +47,23 @@ def test_no_window_over_whole_groups(spark, sf):
     df = spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("k"), F.lit("یک متن بلند با واژه").alias("text"))
     plan = dedup.capped(df, "k", "text", "id")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_clips_without_a_header_are_corrupt(spark, tmp_path):
+    """Bytes that are no WAV are corrupt, whatever duration is stored; a WAV of another layout or encoding is not."""
+    from corpusloom.plans import cleaning
+    from tests.test_operators import make_wav
+
+    def clip(i, data):
+        return (i, (data, f"{i}.wav"), f"یک متن بلند با واژه های بسیار {'ا' * i}", 2.0)
+
+    plain = make_wav()
+    extra = make_wav(chunk=b"LIST" + (3).to_bytes(4, "little") + b"abc\0")
+    floats = plain[:20] + b"\x03\0" + plain[22:]
+    mute = plain[:22] + b"\0\0" + plain[24:]
+    rows = [clip(i, d) for i, d in enumerate([plain, extra, floats, plain[:60], b"not audio at all", b"", None, b"RIFF\0\0\0\0WAVE", plain[:40], mute, extra[:30]])]
+    spark.createDataFrame(rows, "id long, audio struct<bytes: binary, path: string>, text_raw string, duration double").write.parquet(f"{tmp_path}/raw_clips.parquet")
+    assert {r.id for r in cleaning.prepared(spark, str(tmp_path)).filter("corrupt").collect()} == set(range(4, 11))
+    r = cleaning.funnel(spark, str(tmp_path)).first()
+    assert (r.n_raw, r.n_corrupt, r.n_kept) == (11, 7, 4)
+    assert {r.id for r in cleaning.cleaned(spark, str(tmp_path)).collect()} == set(range(4))
