@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom import runtime
 from corpusloom.llm import forms, stream
 from corpusloom.llm.arrow import with_columns
-from corpusloom.llm.lookalikes import latin_words, repair
+from corpusloom.llm.lookalikes import repair, shaped_words
 from corpusloom.operators.skew import join_per_key
 
 MIN_LETTERS = 15
@@ -138,7 +138,7 @@ def regular(rows: DataFrame) -> DataFrame:
     """``rows`` with the few irregular texts brought to the consistent form, so that the table can fold all."""
     odd = F.col("text").rlike(IRREGULAR)
     shaped = with_columns(rows.filter(odd), {"shaped": ("string", lambda v: [forms.shape(x) for x in v])}, "text", drop=("text",)).withColumnRenamed("shaped", "text")
-    mixed = repair(runtime.table(shaped), "text", latin_words(rows, "text"))
+    mixed = repair(runtime.table(shaped), "text", shaped_words(rows, "text"))
     return rows.filter(~odd).unionByName(mixed)
 
 

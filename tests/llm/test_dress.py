@@ -81,3 +81,12 @@ def test_against_grouping(spark, sf):
     assert {w for w in want if w[0] != "raw_clips"} == {g for g in got if g[0] != "raw_clips"}
     assert want <= got  # look-alike letters may join more
     assert np.all([k < c for _, k, c in got])
+
+
+def test_words_stored_in_other_forms_attest(spark):
+    """The unspoilt copies of a word may all be full-width, decomposed or hold an invisible character."""
+    tail = " and some more words"
+    pairs = [("ｖｏｌｌｅｙｂａｌｌ", "vоllеybаll"), ("cafe\u0301teria", "c\u0430f\u00e9teria"), ("trac\u200btor", "tr\u0430ctor")]
+    rows = [(2 * i + k, w + tail * (i + 1)) for i, p in enumerate(pairs) for k, w in enumerate(p)]
+    df = dress.text_rows(spark.createDataFrame(rows, "id long, text string"), "t", "id", "text")
+    assert {(r.keep_id, r.copy_id) for r in dress.copies(dress.text_hashes(df)).collect()} == {(0, 1), (2, 3), (4, 5)}
