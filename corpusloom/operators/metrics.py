@@ -73,12 +73,19 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def _symbols(own: Column, all_: Column) -> Column:
-    """Each word as one code point, by its place in the pair's vocabulary."""
-    return F.array_join(F.transform(own, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + F.array_position(all_, w)), 4, "0")), "UTF-16BE")), "")
+    """Each word as one code point, by its place in the pair's vocabulary; surrogates are passed over. An error beyond the last code point."""
+
+    def symbol(w: Column) -> Column:
+        at = F.lit(19968) + F.array_position(all_, w)
+        at = F.when(at < 0xD800, at).otherwise(at + 0x800)
+        at = F.when(at <= 0x10FFFF, at).otherwise(F.raise_error(F.lit("too many different words in a pair")).cast("bigint"))
+        return F.decode(F.unhex(F.lpad(F.hex(at), 8, "0")), "UTF-32")
+
+    return F.array_join(F.transform(own, symbol), "")
 
 
 def word_edits(reference: Column, prediction: Column) -> Column:
-    """Word-level edit distance (up to 20,000 different words in a pair)."""
+    """Word-level edit distance (an error beyond 1,092,095 different words in a pair)."""
     r, p = T.words(reference), T.words(prediction)
     return F.transform(F.array(F.struct(r.alias("r"), p.alias("p"), F.array_distinct(F.concat(r, p)).alias("v"))), lambda x: F.levenshtein(_symbols(x["r"], x["v"]), _symbols(x["p"], x["v"])))[0]
 

@@ -196,3 +196,11 @@ def test_csv(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     sinks.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_symbols_of_many_words(spark):
+    """Words far back in a pair's vocabulary keep symbols of their own."""
+    at = [1, 35327, 35328, 35329, 36000, 45567, 45568, 45569, 60000]
+    words = F.transform(F.sequence(F.lit(1), F.lit(60000)), lambda i: i.cast("string"))
+    got = spark.range(1).select(metrics._symbols(F.array(*[F.lit(str(i)) for i in at]), words)).first()[0]
+    assert len(got) == len(set(got)) == len(at)
