@@ -7,6 +7,8 @@ digits are beyond the largest scale name and are left as they are.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ TENS = ("", "", "بیست", "سی", "چهل", "پنجاه", "شصت", "هفتا
 HUNDREDS = ("", "صد", "دویست", "سیصد", "چهارصد", "پانصد", "ششصد", "هفتصد", "هشتصد", "نهصد")
 SCALES = ("", " هزار", " میلیون", " میلیارد", " تریلیون", " کوادریلیون", " کوینتیلیون")
 MOST = 3 * len(SCALES)
-#: Digits of other scripts, zero first, as Unicode has them in rows of ten.
-ZEROS = (0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0DE6, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x1090, 0x17E0, 0x1810, 0xFF10)
+#: The zeros of other scripts, each followed by its nine other digits, by the Unicode data of the running Python.
+ZEROS = tuple(c for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd" and unicodedata.digit(chr(c)) == 0)
 FOREIGN = "".join(chr(z + d) for z in ZEROS for d in range(10))
 ASCII = "0123456789" * len(ZEROS)
 

@@ -95,9 +95,9 @@ def is_short(text: Column) -> Column:
 
 
 def audio_key(audio: str) -> Column:
-    """md5 of the bytes, else the path, else the struct as JSON (a struct column ``audio``)."""
-    bytes_ = F.col(f"{audio}.bytes")
-    return F.coalesce(F.when(F.length(bytes_) > 0, F.md5(bytes_)), F.nullif(F.col(f"{audio}.path"), F.lit("")), F.to_json(F.col(audio)), F.lit("None"))
+    """md5 of the bytes, empty ones too; else the path unless it is empty; else one name for structs without either
+    and one for null structs (a struct column ``audio`` of bytes and path)."""
+    return F.coalesce(F.md5(F.col(f"{audio}.bytes")), F.nullif(F.col(f"{audio}.path"), F.lit("")), F.when(F.col(audio).isNotNull(), F.lit("{}")), F.lit("None"))
 
 
 # --- the extended profile ---
@@ -141,6 +141,15 @@ class Profile:
 
 # --- log text ---
 
+# How a training log names its figures.
+LOG_FIELDS = {
+    "train_runtime": r"'train_runtime':\s*'?([\d.]+)'?",
+    "eval_runtime": r"'eval_runtime':\s*'?([\d.]+)'?",
+    "eval_wer": r"'eval_wer':\s*'?([\d.]+)'?",
+    "eval_cer": r"'eval_cer':\s*'?([\d.]+)'?",
+    "peak_vram": r"\[PEAK VRAM\]\s*([\d.]+)\s*GiB",
+}
+OUT_OF_MEMORY = "OutOfMemoryError"
 NUMBER = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
 
 
@@ -156,5 +165,10 @@ def last_lines(log: Column, n: int = 6, width: int = 160) -> Column:
     return F.transform(F.slice(lines, start, F.lit(n)), lambda x: F.substring(x, 1, width))
 
 
-def comma_list(text: Column) -> Column:
-    return F.transform(F.split(text, ","), lambda x: F.trim(x))
+def comma_list(text: Column, allowed: tuple[str, ...] | None = None) -> Column:
+    """The trimmed parts between commas. With ``allowed`` any other part is an error when the row is read."""
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
+    if allowed is None:
+        return parts
+    unknown = F.filter(parts, lambda x: ~x.isin(*allowed))
+    return F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown: "), F.array_join(unknown, ", ")))).otherwise(parts)

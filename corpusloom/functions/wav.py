@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import StructType
 
 
 def _le(data: Column, at: int) -> Column:
@@ -34,40 +34,45 @@ def is_corrupt(data: Column) -> Column:
     return data.isNull() | (F.length(data) == 0)
 
 
-def has_header(data: bytes | None) -> bool:
-    """Whether the chunks of a WAV, of any encoding, hold a format and then samples. What is held of these is not asked."""
+def header_seconds(data: bytes | None) -> float | None:
+    """Seconds by the chunks of a WAV of any encoding, as declared; None where there is no format with channels and a
+    rate before the samples. What is held of the samples is not asked."""
     if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        return False
-    at, form = 12, False
+        return None
+    at, speed = 12, 0
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
         if name == b"fmt " and size >= 16 and at + 24 <= len(data):
-            channels, rate = struct.unpack("<HI", data[at + 10 : at + 16])
-            form = channels > 0 and rate > 0
+            channels, rate, a_second = struct.unpack("<HII", data[at + 10 : at + 20])
+            speed = a_second if channels and rate else 0
         elif name == b"data":
-            return form
+            return size / speed if speed else None
         at += 8 + size + (size & 1)
-    return False
+    return None
 
 
-def has_plain_header(data: Column) -> Column:
-    """A header of the common layout with channels and a rate."""
-    return is_plain(data) & (F.hex(F.substring(data, 23, 2)) != "0000") & (_le(data, 25) > 0)
+def plain_seconds(data: Column) -> Column:
+    """:func:`header_seconds` for the common layout, null for anything else. No sample is read."""
+    good = is_plain(data) & (F.hex(F.substring(data, 23, 2)) != "0000") & (_le(data, 25) > 0) & (_le(data, 29) > 0)
+    return F.when(good, _le(data, 41) / _le(data, 29))
 
 
-def with_unreadable(df: DataFrame, data: str, made: str, *columns: str | Column) -> DataFrame:
-    """``columns`` of ``df`` plus the boolean ``made``: no bytes at all, or no WAV header that can be read from the
-    binary column ``data``. Only bytes that have not the common layout leave the scan."""
+def with_seconds(df: DataFrame, data: str, made: str, *columns: str | Column) -> DataFrame:
+    """``columns`` of ``df`` plus ``made``: seconds by the header of the binary column ``data``, null where it is
+    corrupt (no bytes, or no header that can be read). Only bytes that have not the common layout leave the scan."""
     b = F.col(data)
-    rest = F.when(~is_corrupt(b) & ~has_plain_header(b), b).alias("__rest")
-    source = df.select(*columns, is_corrupt(b).alias(made), rest)
+    seconds = plain_seconds(b)
+    rest = F.when(seconds.isNull() & ~is_corrupt(b), b).alias("__rest")
+    source = df.select(*columns, seconds.cast("double").alias(made), rest)
     names = source.columns[:-1]
-    schema = StructType(source.schema.fields[:-2]).add(made, BooleanType())
+    schema = StructType(source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            bad = [c.as_py() or (r.is_valid and not has_header(r.as_py())) for c, r in zip(x.column(made), x.column("__rest"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-1]), pa.array(bad, pa.bool_())], names)
+            own = x.column(made)
+            if x.column("__rest").null_count < x.num_rows:
+                own = pa.array([header_seconds(r.as_py()) if r.is_valid else s.as_py() for s, r in zip(own, x.column("__rest"), strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names[:-1]), own], names)
 
     return source.mapInArrow(run, schema)
 

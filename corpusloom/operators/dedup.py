@@ -18,10 +18,11 @@ CAP, KEY = 3, "__key"
 
 
 def exact_dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row by ``order`` of each combination of ``keys``; nulls are equal to each other."""
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__row"))
-    return first.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
+    """The first row by ``order`` of each combination of ``keys``; nulls are equal to each other. The keys are shuffled
+    as one digest."""
+    parts = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("")) for c in keys]
+    first = df.groupBy(F.unhex(F.md5(F.concat_ws(",", *parts))).alias("__key")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("__row"))
+    return first.select("__row.*")
 
 
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:
@@ -38,13 +39,13 @@ def groups(df: DataFrame, key: str, text: str, order: str, short: Column | None
 
 
 def capped(df: DataFrame, key: str, text: str, order: str, cap: int = CAP) -> DataFrame:
-    """Groups whose first text is short keep all rows, the others their first ``cap``."""
-    hashed = df.withColumn(KEY, F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("")))  # null is a group too
-    own = runtime.table(groups(hashed, KEY, text, order).select(KEY, "n", "short"))
+    """Groups whose first text is short keep all rows, the others their first ``cap``. ``df`` is evaluated once."""
+    rows = runtime.table(df.withColumn(KEY, F.coalesce(F.unhex(F.md5(F.col(key).cast("string"))), F.unhex(F.lit("00")))))  # null is a group too
+    own = runtime.table(groups(rows, KEY, text, order).select(KEY, "n", "short"))
     rank = F.row_number().over(Window.partitionBy(KEY).orderBy(order))
-    first = hashed.withColumn("__rank", rank).filter(F.col("__rank") <= cap).drop("__rank")
+    first = rows.withColumn("__rank", rank).filter(F.col("__rank") <= cap).drop("__rank")
     kept_long = first.join(own.filter("NOT short").select(KEY), KEY, "left_semi")
-    kept_short = join_per_key(hashed, own.filter("short").drop("short"), [KEY], "n", F.col(order))
+    kept_short = join_per_key(rows, own.filter("short").drop("short"), [KEY], "n", F.col(order))
     return kept_short.select(*df.columns).unionByName(kept_long.select(*df.columns))
 
 

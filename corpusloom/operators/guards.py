@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.joins import leaked
 from corpusloom.operators.report import unpivoted
 
 
@@ -24,20 +25,42 @@ def residue(df: DataFrame, text: str) -> DataFrame:
     return df.agg(F.count_if(T.has_arabic(t)).alias("n_arabic"), F.count_if(T.has_digits(t)).alias("n_digits"))
 
 
-def quality_gate(train: DataFrame, val: DataFrame, key: str, text: str) -> DataFrame:
-    """(check, n_bad, ok) of both splits together: unique ids, no overlap, no foreign letters, no digits, no blanks, no empty split."""
-    both = train.select(key, text, F.lit("t").alias("s")).unionByName(val.select(key, text, F.lit("v").alias("s")))
-    t = T.null_safe(F.col(text))
-    blank: Column = F.trim(T.collapsed(t)) == ""
-    sums = both.agg(
-        F.count_if(F.col("s") == "t").alias("n_train"), F.count_if(F.col("s") == "v").alias("n_val"),
-        F.count_if(T.has_arabic(t)).alias("arabic_letters"), F.count_if(T.has_digits(t)).alias("digits"), F.count_if(blank).alias("blank_labels"),
-        (F.count_if(F.col("s") == "t") - F.count_distinct(F.when(F.col("s") == "t", F.col(key)))).alias("repeated_train_ids"),
-        (F.count_if(F.col("s") == "v") - F.count_distinct(F.when(F.col("s") == "v", F.col(key)))).alias("repeated_val_ids"),
+def quality_gate(train: DataFrame | None, val: DataFrame | None, key: str, text: str, expected: tuple[int, int] | None = None) -> DataFrame:
+    """(check, n_bad, ok) of both splits together: present and not empty, the expected numbers of rows, unique keys, no
+    overlap, no foreign letters, no digits, no blanks.
+
+    A split that is None is missing and counts as empty. ``expected``: rows of train and val; n_bad is how far off
+    they are, and without ``expected`` nothing. Null keys count as one key. One aggregate per key carries all checks,
+    so rows are shuffled once and only as one number per key and task.
+    """
+    here = {s: d for s, d in (("t", train), ("v", val)) if d is not None}
+    if not here:
+        raise ValueError("neither split is there")
+    both = reduce(DataFrame.unionByName, [d.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(s).alias("s")) for s, d in here.items()])
+    t = T.null_safe(F.col("t"))
+    flags = {"n_train": F.col("s") == "t", "n_val": F.col("s") == "v", "arabic_letters": T.has_arabic(t), "digits": T.has_digits(t), "blank_labels": F.trim(T.collapsed(t)) == ""}
+    per_key = both.groupBy("k").agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    repeated = lambda n: whole(F.greatest(F.col(n) - 1, F.lit(0)))
+    sums = per_key.agg(
+        *[whole(n).alias(n) for n in flags],
+        repeated("n_train").alias("repeated_train_ids"), repeated("n_val").alias("repeated_val_ids"),
+        F.count_if((F.col("n_train") > 0) & (F.col("n_val") > 0)).alias("overlapping_ids"),
     )
-    over = leaked(train, val, key).agg(F.count(F.lit(1)).alias("overlapping_ids"))
-    empty = lambda c: F.when(F.col(c) == 0, 1).otherwise(0).cast("bigint")
-    row = sums.join(F.broadcast(over), how="cross").select(
-        empty("n_train").alias("empty_train"), empty("n_val").alias("empty_val"), "repeated_train_ids", "repeated_val_ids", "overlapping_ids", "arabic_letters", "digits", "blank_labels"
+    off = lambda n, i: (F.abs(F.col(n) - expected[i]) if expected else F.lit(0)).cast("bigint")
+    empty = lambda n: (F.col(n) == 0).cast("bigint")
+    missing = lambda s: F.lit(int(s not in here)).cast("bigint")
+    row = sums.select(
+        missing("t").alias("missing_train"), missing("v").alias("missing_val"), empty("n_train").alias("empty_train"), empty("n_val").alias("empty_val"),
+        off("n_train", 0).alias("train_rows_off"), off("n_val", 1).alias("val_rows_off"),
+        "repeated_train_ids", "repeated_val_ids", "overlapping_ids", "arabic_letters", "digits", "blank_labels",
     )
     return unpivoted(row, kind="bigint").select(F.col("metric").alias("check"), F.col("value").alias("n_bad"), (F.col("value") == 0).alias("ok"))
+
+
+def table_if_present(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, or None where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.format(form).load(path)

@@ -26,12 +26,20 @@ def require_unique(labels: DataFrame, key: str = "id") -> DataFrame:
     return labels
 
 
-def attach(rows: DataFrame, labels: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cleaned_text",)) -> DataFrame:
-    """Inner join by ``key``; one row of ``labels`` per key is needed (see :func:`require_unique`)."""
+def attach(rows: DataFrame, labels: DataFrame, key: str = "id", columns: tuple[str, ...] = ("cleaned_text",), unique: bool = True) -> DataFrame:
+    """Inner join by ``key``. A key with several rows of ``labels`` is an error, so that no row is multiplied; ``unique``
+    false skips that check for labels known to have one row per key. Null keys match nothing."""
     require_columns(labels, key, *columns)
+    if unique:
+        require_unique(labels.filter(F.col(key).isNotNull()), key)
     return rows.join(labels.select(key, *columns), key)
 
 
+def sanitized(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Only the columns of ``keep``, in that order; one that is missing is an error."""
+    return require_columns(df, *keep).select(*keep)
+
+
 def routed(rows: DataFrame, splits: dict[str, DataFrame], key: str = "id") -> DataFrame:
     """``rows`` plus ``split``: the first of ``splits`` that has the key, or 'unused'."""
     ranked = reduce(DataFrame.unionByName, [d.select(key, F.lit(i).alias("__i")) for i, d in enumerate(splits.values())])
@@ -44,14 +52,22 @@ def unmatched(labels: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return labels.join(rows.select(key), key, "left_anti")
 
 
+def coverage(labels: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """One row: labels, labels without a row, and whether all, some or none have one ('all' of no labels)."""
+    there = rows.select(key).distinct().withColumn("__there", F.lit(1))
+    found = labels.select(key).join(there, key, "left")
+    n, missing = F.count(F.lit(1)), F.count_if(F.col("__there").isNull())
+    return found.agg(n.alias("n_labels"), missing.alias("n_missing"), F.when(missing == 0, "all").when(missing == n, "none").otherwise("some").alias("covered"))
+
+
 def check_coverage(labels: DataFrame, rows: DataFrame, key: str = "id", partial: bool = False) -> int:
     """Number of labels without a row. All missing is an error; some missing too, unless ``partial``."""
-    total, missing = labels.count(), unmatched(labels, rows, key).count()
-    if total and missing == total:
+    r = coverage(labels, rows, key).first()
+    if r.covered == "none":
         raise DataError("no label matches a row")
-    if missing and not partial:
-        raise DataError(f"{missing} of {total} labels match no row")
-    return missing
+    if r.n_missing and not partial:
+        raise DataError(f"{r.n_missing} of {r.n_labels} labels match no row")
+    return r.n_missing
 
 
 def leaked(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,45 @@ def rate_outliers(rated: DataFrame) -> DataFrame:
     return rated.agg(n.alias("n_rows"), F.count_if(f).alias("n_fast"), F.count_if(s).alias("n_slow"), F.count_if(f | s).alias("n_either"), pct(f).alias("pct_fast"), pct(s).alias("pct_slow"), pct(f | s).alias("pct_either"))
 
 
+def value_at(df: DataFrame, value: str, rank: int, few: int = 10_000, bins: int = 1024) -> float | None:
+    """The value of this 1-based rank among the known ones, exactly; None where there are fewer. Each pass counts
+    ``bins`` equal ranges and goes on with the one that holds the rank, until at most ``few`` rows or one value are
+    left: no task and no driver ever holds more."""
+    v = known(F.col(value).cast("double"))
+    rows = df.select(v.alias("v")).filter("v IS NOT NULL")
+    n, lo, hi = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not 1 <= rank <= n:
+        return None
+    while lo < hi:
+        here = rows.filter(F.col("v").between(lo, hi))
+        if n <= few:
+            return here.orderBy("v").limit(rank).agg(F.max("v")).first()[0]
+        at = F.floor((F.col("v") - lo) / ((hi - lo) / bins))
+        for r in sorted(here.groupBy(at.alias("bin")).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+            if rank <= r.n:
+                n, lo, hi = r.n, r.lo, r.hi
+                break
+            rank -= r.n
+    return lo
+
+
+def median(df: DataFrame, value: str) -> float | None:
+    """The exact median; the mean of the two middle values where their number is even. None without known values."""
+    v = known(F.col(value).cast("double"))
+    n = df.agg(F.count(v)).first()[0]
+    if not n:
+        return None
+    low = value_at(df, value, (n + 1) // 2)
+    if n % 2:
+        return low
+    upto, above = df.agg(F.count_if(v <= low), F.min(F.when(v > low, v))).first()
+    return low if upto >= n // 2 + 1 else (low + above) / 2
+
+
 def summary(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, exact median and max."""
+    """Count, mean, exact median, largest and least value."""
     v = known(F.col(value).cast("double"))
-    return df.agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"))
+    return df.agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.lit(median(df, value)).cast("double").alias("median"), F.max(v).alias("max"), F.min(v).alias("min"))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -69,6 +106,22 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return every.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def density(df: DataFrame, value: str, bins: int, width: float | None = None) -> DataFrame:
+    """(bin, density): a Gaussian kernel density at the middle of each bin of :func:`histogram`, from the bins' counts.
+    ``width`` of the kernel: by default the standard deviation times n ** -0.2. Without a spread there are no rows."""
+    v = known(F.col(value).cast("double"))
+    n, lo, hi, spread = df.agg(F.count(v), F.min(v), F.max(v), F.stddev(v)).first()
+    if not n or hi <= lo:
+        return df.sparkSession.createDataFrame([], "bin int, density double")
+    width = width or spread * n**-0.2
+    counts = histogram(df, value, bins)  # as many rows as bins
+    step = (hi - lo) / bins
+    far = (F.col("bin") - F.col("other")) * step / width
+    pairs = F.broadcast(counts.select(F.col("bin").alias("other"), F.col("n").alias("held")))
+    pairs = counts.select("bin").join(pairs, how="cross")
+    return pairs.groupBy("bin").agg((F.sum(F.col("held") * F.exp(-far * far / 2)) / (n * width * (2 * math.pi) ** 0.5)).alias("density"))
+
+
 # --- error rates ---
 
 
@@ -123,18 +176,35 @@ def drop_failed(df: DataFrame, failed: Column, most: float = MAX_FAILED) -> Data
     return df.filter(~failed) if row.n_failed else df
 
 
-def storage(df: DataFrame, values: int = 128 * 3000, width: int = 4) -> DataFrame:
-    """One row: rows and GB of a cache of ``values`` numbers of ``width`` bytes a row, and with a 15 % reserve."""
+def storage(df: DataFrame, values: int = 128 * 3000, width: int = 4, free_gb: float | None = None) -> DataFrame:
+    """One row: rows and GB of a cache of ``values`` numbers of ``width`` bytes a row, with a 15 % reserve, and whether
+    that is within ``free_gb`` (null where it is not given)."""
     gb = F.count(F.lit(1)) * float(values * width) / 1e9
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), gb.alias("gb"), (gb * 1.15).alias("gb_with_reserve"))
+    fits = F.lit(free_gb).cast("double") >= gb * 1.15
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), gb.alias("gb"), (gb * 1.15).alias("gb_with_reserve"), fits.alias("fits"))
 
 
 def run_times(results: DataFrame, steps: int, samples: int) -> DataFrame:
-    """Seconds a step and an evaluated sample from total and evaluation times."""
-    return results.withColumns({"s_per_step": F.try_divide(F.col("train_runtime") - F.coalesce("eval_runtime", F.lit(0.0)), F.lit(steps)), "s_per_eval_sample": F.try_divide("eval_runtime", F.lit(samples))})
+    """Seconds a step and an evaluated sample from total and evaluation times; both null where either is missing."""
+    both = F.col("train_runtime").isNotNull() & F.col("eval_runtime").isNotNull()
+    return results.withColumns({"s_per_step": F.when(both, F.try_divide(F.col("train_runtime") - F.col("eval_runtime"), F.lit(steps))), "s_per_eval_sample": F.when(both, F.try_divide("eval_runtime", F.lit(samples)))})
+
 
+def against_baseline(results: DataFrame, baseline: str, steps: int, reference: float | None = None) -> DataFrame:
+    """Speed-up over the named row, hours for ``steps`` steps, and the hours where the named row takes ``reference``
+    seconds a step; null where a figure is missing."""
+    base = results.filter((F.col("name") == baseline) & (F.col("s_per_step") != 0)).agg(F.max("s_per_step").alias("base"))
+    out = results.join(F.broadcast(base), how="cross")
+    speedup = F.try_divide("base", F.col("s_per_step"))
+    return out.withColumns({"speedup": speedup, "hours": F.col("s_per_step") * steps / 3600.0, "reference_hours": F.try_divide(F.lit(reference).cast("double"), speedup) * steps / 3600.0}).drop("base")
+
+
+def chosen(results: DataFrame, names: str) -> DataFrame:
+    """The rows whose ``name`` is in the comma-separated list ``names``; an unknown name is an error."""
+    from corpusloom.operators.joins import DataError
 
-def against_baseline(results: DataFrame, baseline: str, steps: int) -> DataFrame:
-    """Speed-up over the named row and hours for ``steps`` steps; null where a figure is missing."""
-    base = results.filter(F.col("name") == baseline).agg(F.max("s_per_step").alias("base"))
-    return results.join(F.broadcast(base), how="cross").withColumns({"speedup": F.try_divide("base", F.col("s_per_step")), "hours": F.col("s_per_step") * steps / 3600.0}).drop("base")
+    wanted = [n.strip() for n in names.split(",")]
+    known_ = {r.name for r in results.filter(F.col("name").isin(wanted)).select("name").distinct().collect()}  # at most as many as asked for
+    if missing := [n for n in wanted if n not in known_]:
+        raise DataError(f"unknown names: {', '.join(missing)}")
+    return results.filter(F.col("name").isin(wanted))

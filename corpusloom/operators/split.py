@@ -20,15 +20,22 @@ def order_hash(key: Column, seed: int = 42) -> Column:
 
 
 def cut_at(df: DataFrame, key: str, rank: int, seed: int = 42, few: int = FEW) -> tuple[str, object] | None:
-    """(hash, key) of the row of this 1-based rank; None when there are fewer rows or rank < 1."""
+    """(hash, key) of the row of this 1-based rank; None when there are fewer rows or rank < 1. Null keys have no rank."""
     if rank < 1:
         return None
-    rows = df.select(order_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
+    rows = df.filter(F.col(key).isNotNull()).select(order_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     prefix = ""
     while True:
         here = rows.filter(F.col("h").startswith(prefix)) if prefix else rows
         width = len(prefix) + 4
-        if width > 32 or here.limit(few + 1).count() <= few:
+        if width > 32:  # one hash: keys that are all alike, or nearly; counted key by key
+            per = here.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).orderBy("k").limit(rank).toLocalIterator()
+            for r in per:
+                if rank <= r.n:
+                    return r.h, r.k
+                rank -= r.n
+            return None
+        if here.limit(few + 1).count() <= few:
             top = here.orderBy("h", "k").limit(rank).collect()
             return (top[rank - 1].h, top[rank - 1].k) if len(top) >= rank else None
         counts = here.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 65,536
@@ -47,13 +54,14 @@ def _until(key: str, cut: tuple[str, object], seed: int) -> Column:
 
 
 def train_val(df: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """``df`` plus ``split``: exactly ceil(share * n) rows are 'val'. Keys must be unique."""
-    cut = cut_at(df, key, math.ceil(share * df.count()), seed)
-    val = _until(key, cut, seed) if cut else F.lit(False)
+    """``df`` plus ``split``: exactly ceil(share * n) of the n rows with a key are 'val'. Keys must be unique; rows
+    without one are 'train'."""
+    cut = cut_at(df, key, math.ceil(share * df.filter(F.col(key).isNotNull()).count()), seed)
+    val = F.coalesce(_until(key, cut, seed), F.lit(False)) if cut else F.lit(False)
     return df.withColumn("split", F.when(val, "val").otherwise("train"))
 
 
 def subset(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows, or all where there are fewer."""
+    """``n`` rows with a key, or all of these where there are fewer."""
     cut = cut_at(df, key, n, seed)
-    return df.filter(_until(key, cut, seed)) if cut else (df if n > 0 else df.filter(F.lit(False)))
+    return df.filter(_until(key, cut, seed)) if cut else df.filter(F.col(key).isNotNull() if n > 0 else F.lit(False))

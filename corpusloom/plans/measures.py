@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
 from corpusloom.functions import text as T
 from corpusloom.functions import wav
-from corpusloom.operators import guards, metrics, report
+from corpusloom.operators import guards, joins, metrics, report
 from corpusloom.plans import sqltext as Q
+from corpusloom.sources import sinks
 
 
 def clips(spark: SparkSession, sf: str, name: str = "raw_clips") -> DataFrame:
@@ -29,8 +33,39 @@ def figures(spark: SparkSession, sf: str) -> DataFrame:
     return guards.figure_check(df, {"n_long": (0, 0), "longest": (30, 0.01), "n_null": (0, 1000)})
 
 
+#: Numbers of rows that the gate expects of the two splits.
+EXPECTED = (32_000, 5_400)
+
+
 def gate(spark: SparkSession, sf: str) -> DataFrame:
-    return guards.quality_gate(clips(spark, sf, "train_clips"), clips(spark, sf, "val_clips"), "id", "cleaned_text")
+    train, val = (guards.table_if_present(spark, f"{sf}/{t}_clips.parquet") for t in ("train", "val"))
+    return guards.quality_gate(train, val, "id", "cleaned_text", EXPECTED)
+
+
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.density(clips(spark, sf), "duration", 60).select("bin", F.round("density", 9).alias("density"))
+
+
+def undecodable() -> Column:
+    return wav.plain_seconds(F.col("audio.bytes")).isNull()
+
+
+def decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """The clips that pass the decode gate, here with more failures allowed than its default, and only their key columns."""
+    return joins.sanitized(metrics.drop_failed(clips(spark, sf), undecodable(), 0.05), ("id", "duration"))
+
+
+def report_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The report as a text file, read back."""
+    path = f"{runtime.shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
+    runtime._scratch.append((spark, path))
+    sinks.write_report(report_of(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def blank_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Error rates where every reference is empty."""
+    return metrics.error_rates(clips(spark, sf, "train_clips").select(F.lit(" ،!").alias("r"), "cleaned_text"), "r", "cleaned_text")
 
 
 def report_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,11 +87,15 @@ QUERIES = {
     "histogram": lambda spark, sf: metrics.histogram(clips(spark, sf), "duration", 60),
     "histogram_words": lambda spark, sf: metrics.histogram(lengths(spark, sf), "n_words", 50),
     "error_rates": errors,
-    "decode_gate": lambda spark, sf: metrics.failure_rate(clips(spark, sf), wav.plain_duration(F.col("audio.bytes")).isNull()),
+    "decode_gate": lambda spark, sf: metrics.failure_rate(clips(spark, sf), undecodable()),
+    "decode_kept": decoded,
+    "density": dense,
+    "error_rates_blank": blank_errors,
+    "report_file": report_file,
     "quality_gate": gate,
     "figure_check": figures,
     "report_lines": report_of,
-    "storage_estimate": lambda spark, sf: metrics.storage(clips(spark, sf, "train_clips")),
+    "storage_estimate": lambda spark, sf: metrics.storage(clips(spark, sf, "train_clips"), free_gb=10.0),
 }
 
 _T = "coalesce(cleaned_text, '')"
@@ -79,18 +118,11 @@ def _encoded(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda s: chr(33 + CAST(list_position(v, s) AS INT))), '')"
 
 
-_HEX = "hex(audio.bytes)"
-
-
-def le_sql(at: int) -> str:
-    """Little-endian number at a 1-based byte position of the hex text h."""
-    byte = lambda i: f"((strpos('0123456789ABCDEF', substr(h, {2 * (at + i) - 1}, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, {2 * (at + i)}, 1)) - 1)"
-    return " + ".join(f"{byte(i)}::BIGINT * {256**i}" for i in range(4))
-
+#: Rows with the seconds by header, null where the clip is corrupt.
+WAV_SQL = f"(SELECT id, duration, {Q.wav_seconds('h')} AS seconds FROM (SELECT id, duration, hex(audio.bytes) AS h FROM raw_clips))"
 
-#: Rows with the seconds by header, null where the layout is not the common one.
-WAV_SQL = f"""(SELECT id, CASE WHEN length(h) >= 88 AND substr(h, 1, 8) = '52494646' AND substr(h, 17, 8) = '57415645' AND substr(h, 25, 8) = '666D7420' AND substr(h, 73, 8) = '64617461' AND ({le_sql(29)}) > 0
-    THEN ({le_sql(41)})::DOUBLE / ({le_sql(29)}) END AS seconds FROM (SELECT id, {_HEX} AS h FROM raw_clips))"""
+_REPORT = """WITH r AS (SELECT count(*) AS a, count(*) FILTER (duration IS NULL) AS b, count(*) FILTER (duration < 1.0) AS c, count(*) FILTER (duration > 30.0) AS d FROM raw_clips)
+        SELECT {0} 'Rows: ' || a AS line FROM r UNION ALL SELECT {1} 'Unreadable: ' || b FROM r UNION ALL SELECT {2} 'Shorter than 1 s: ' || c FROM r UNION ALL SELECT {3} 'Longer than 30 s: ' || d FROM r"""
 
 SQL = {
     "range_filter": "SELECT id, duration FROM raw_clips WHERE duration BETWEEN 1.0 AND 30.0",
@@ -112,6 +144,7 @@ SQL = {
     "decode_gate": f"SELECT count(*) AS n_before, count(*) FILTER (seconds IS NULL) AS n_failed, count(*) FILTER (seconds IS NULL)::DOUBLE / count(*) AS rate, count(*) FILTER (seconds IS NULL)::DOUBLE / count(*) > 0.005 AS aborts FROM {WAV_SQL}",
     "quality_gate": f"""WITH b AS (SELECT id, {_T} AS t FROM train_clips UNION ALL SELECT id, {_T} FROM val_clips), c AS (
         SELECT 'empty_train' AS "check", CASE WHEN (SELECT count(*) FROM train_clips) = 0 THEN 1 ELSE 0 END AS n_bad UNION ALL SELECT 'empty_val', CASE WHEN (SELECT count(*) FROM val_clips) = 0 THEN 1 ELSE 0 END
+        UNION ALL SELECT 'missing_train', 0 UNION ALL SELECT 'missing_val', 0 UNION ALL SELECT 'train_rows_off', abs((SELECT count(*) FROM train_clips) - {EXPECTED[0]}) UNION ALL SELECT 'val_rows_off', abs((SELECT count(*) FROM val_clips) - {EXPECTED[1]})
         UNION ALL SELECT 'repeated_train_ids', (SELECT count(*) - count(DISTINCT id) FROM train_clips) UNION ALL SELECT 'repeated_val_ids', (SELECT count(*) - count(DISTINCT id) FROM val_clips)
         UNION ALL SELECT 'overlapping_ids', (SELECT count(*) FROM (SELECT id FROM train_clips INTERSECT SELECT id FROM val_clips))
         UNION ALL SELECT 'arabic_letters', (SELECT count(*) FROM b WHERE regexp_matches(t, '[{T.ARABIC}]')) UNION ALL SELECT 'digits', (SELECT count(*) FROM b WHERE regexp_matches(t, '\\p{{Nd}}'))
@@ -119,7 +152,11 @@ SQL = {
     "figure_check": """WITH f AS (SELECT count(*) FILTER (duration > 30.0)::DOUBLE AS n_long, max(duration) AS longest, count(*) FILTER (text_raw IS NULL)::DOUBLE AS n_null FROM raw_clips),
         u AS (SELECT 'n_long' AS metric, n_long AS actual, 0.0::DOUBLE AS expected, 0.0::DOUBLE AS tolerance FROM f UNION ALL SELECT 'longest', longest, 30.0, 0.01 FROM f UNION ALL SELECT 'n_null', n_null, 0.0, 1000.0 FROM f)
         SELECT *, abs(actual - expected) <= tolerance AS ok FROM u""",
-    "report_lines": """WITH r AS (SELECT count(*) AS a, count(*) FILTER (duration IS NULL) AS b, count(*) FILTER (duration < 1.0) AS c, count(*) FILTER (duration > 30.0) AS d FROM raw_clips)
-        SELECT 1 AS line_no, 'Rows: ' || a AS line FROM r UNION ALL SELECT 2, 'Unreadable: ' || b FROM r UNION ALL SELECT 3, 'Shorter than 1 s: ' || c FROM r UNION ALL SELECT 4, 'Longer than 30 s: ' || d FROM r""",
-    "storage_estimate": "SELECT count(*) AS n_rows, count(*) * (128 * 3000 * 4)::DOUBLE / 1e9 AS gb, count(*) * (128 * 3000 * 4)::DOUBLE / 1e9 * 1.15 AS gb_with_reserve FROM train_clips",
+    "report_lines": _REPORT.format("1 AS line_no,", "2,", "3,", "4,"),
+    "report_file": _REPORT.format("", "", "", ""),
+    "decode_kept": f"SELECT id, duration FROM {WAV_SQL} WHERE seconds IS NOT NULL",
+    "density": f"""WITH h AS ({_histogram(_SECONDS, 60)}), s AS (SELECT count(v) AS n, (max(v) - min(v)) / 60 AS step, stddev_samp(v) * count(v) ** -0.2 AS w FROM {_SECONDS})
+        SELECT a.bin, round(sum(b.n * exp(-(((a.bin - b.bin) * step / w) ** 2) / 2)) / any_value(s.n * w) / sqrt(2 * pi()), 9) AS density FROM h a, h b, s GROUP BY 1""",
+    "error_rates_blank": "SELECT count(*) AS n_pairs, count(*) AS n_dropped, 0::BIGINT AS word_edits, 0::BIGINT AS words, 0::BIGINT AS char_edits, 0::BIGINT AS chars, 0.0::DOUBLE AS wer, 0.0::DOUBLE AS cer FROM train_clips",
+    "storage_estimate": "SELECT count(*) AS n_rows, count(*) * (128 * 3000 * 4)::DOUBLE / 1e9 AS gb, count(*) * (128 * 3000 * 4)::DOUBLE / 1e9 * 1.15 AS gb_with_reserve, 10.0 >= count(*) * (128 * 3000 * 4)::DOUBLE / 1e9 * 1.15 AS fits FROM train_clips",
 }

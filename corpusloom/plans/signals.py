@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import signal, wav
+from corpusloom.functions import audio, signal, wav
+from corpusloom.plans import sqltext as Q
 from corpusloom.plans.measures import WAV_SQL
 
 RATE, TOP_DB = 400, 6.0
@@ -45,12 +46,12 @@ def clips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wav_duration(spark, sf):
-    return clips(spark, sf).select("id", F.coalesce(wav.plain_duration(F.col("audio.bytes")), F.lit(-1.0)).alias("seconds"))
+    return clips(spark, sf).select("id", F.coalesce(wav.plain_seconds(F.col("audio.bytes")), F.lit(-1.0)).alias("seconds"))
 
 
 def wav_signal(spark, sf):
     """Header and signal figures of every clip; undecodable ones count as silent."""
-    df = wav.with_signal(clips(spark, sf), "audio.bytes", ["id"])
+    df = wav.with_signal(clips(spark, sf), "audio.bytes", ["id"]).withColumn("rms", F.round("rms", 9))
     return df.withColumns({"silent": signal.is_silent(F.col("peak"), F.col("rms")), "clipped": signal.is_clipped(F.col("peak"))})
 
 
@@ -59,11 +60,53 @@ def shard_hashes(spark, sf):
     return clips(spark, sf).select("id", F.md5("audio.bytes").alias("audio_md5"), "duration")
 
 
-QUERIES = {"signal_stats": stats, "signal_flags": flags, "peak_normalize": normalized, "trim_silence": trimmed, "resample_linear": resampled, "wav_duration": wav_duration, "wav_signal": wav_signal, "shard_hashes": shard_hashes}
+def _levels(df: DataFrame, key: str) -> DataFrame:
+    return audio.with_levels(df, "audio", [key]).select(key, "n_in", "n_out", F.round("peak", 9).alias("peak"), F.round("total", 6).alias("total"))
+
+
+def clip_levels(spark, sf):
+    """Every clip decoded, mixed down, resampled, trimmed and levelled as by default. A third of the ids come as arrays at
+    8 kHz instead of bytes."""
+    third = F.col("id") % 3 == 0
+    wave = F.array((F.col("id") % 7) * 0.1, F.lit(-0.5), F.lit(0.25))
+    source = F.struct(F.when(third, wave).alias("array"), F.when(third, F.lit(8000)).alias("sampling_rate"), F.col("audio.bytes").alias("bytes"), F.col("audio.path").alias("path"))
+    return _levels(clips(spark, sf).select("id", source.alias("audio")), "id")
+
+
+#: Three seconds at 16 kHz, silent but for a stretch that begins and ends later from one supplier to the next.
+LENGTH, QUIET, LOUD = 48_000, 0.0001, 0.4
+
+
+def clip_trim(spark, sf):
+    """Trimming and levelling at their default settings on long arrays."""
+    begin = (F.col("s_suppkey") * 37) % 20_000
+    end = begin + 4_000 + F.col("s_nationkey") * 900
+    wave = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.when((i >= begin) & (i < end), F.when(i % 2 == 0, F.lit(LOUD)).otherwise(F.lit(-LOUD / 2))).otherwise(F.lit(QUIET)))
+    source = F.struct(wave.alias("array"), F.lit(16_000).alias("sampling_rate"))
+    return _levels(spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", source.alias("audio")), "s_suppkey")
+
+
+def features(spark, sf):
+    """Mean of each of the 128 bands of every clip's features of 30 s, as one row per clip."""
+    df = audio.with_features(clips(spark, sf), "audio", ["id"], pooled=True)
+    return df.select("id", "decode_ok", F.size("input_features").alias("bands"), F.round(F.aggregate("input_features", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+
+
+QUERIES = {"clip_levels": clip_levels, "clip_trim": clip_trim, "clip_features": features, "signal_stats": stats, "signal_flags": flags, "peak_normalize": normalized, "trim_silence": trimmed, "resample_linear": resampled, "wav_duration": wav_duration, "wav_signal": wav_signal, "shard_hashes": shard_hashes}
 
 _X = "w AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
 _PEAK = "list_max(list_transform(x, lambda v: abs(v)))"
 _RMS = "sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x))"
+_GAIN = f"{10 ** (-3 / 20)!r}"
+#: The samples of a plain clip as kept, of one channel and 16 bits, as all of the tables are.
+_SAMPLES = f"list_transform(range(0, least({Q.le('h', 41)}, length(h) // 2 - 44) // 2), lambda i: (CASE WHEN {Q.le('h', '(45 + 2 * i)', 2)} >= 32768 THEN {Q.le('h', '(45 + 2 * i)', 2)} - 65536 ELSE {Q.le('h', '(45 + 2 * i)', 2)} END)::DOUBLE / 32768)"
+_DECODED = f"""dec AS (SELECT id, h, CASE WHEN {Q.wav_plain('h')} AND {Q.le('h', 21, 2)} IN (1, 65534) AND {Q.le('h', 35, 2)} = 16 AND {Q.le('h', 23, 2)} = 1 THEN {_SAMPLES} END AS x FROM (SELECT id, hex(audio.bytes) AS h FROM raw_clips))"""
+
+
+def _levelled(x: str) -> str:
+    return f"CASE WHEN {_PEAK.replace('(x', f'({x}')} > 1e-8 THEN {_GAIN} / {_PEAK.replace('(x', f'({x}')} ELSE 1.0 END"
+
+
 SQL = {
     "signal_stats": f"WITH {_X} SELECT vec_id, round({_PEAK}, 9) AS peak, round({_RMS}, 9) AS rms FROM w",
     "signal_flags": f"WITH {_X}, s AS (SELECT round({_PEAK}, 9) AS peak, round({_RMS}, 9) AS rms FROM w) SELECT count(*) FILTER (peak < 0.3 OR rms < 0.01) AS n_silent, count(*) FILTER (peak >= 0.4) AS n_clipped FROM s",
@@ -74,6 +117,18 @@ SQL = {
         SELECT vec_id, len(y)::INT AS n, round(y[1], 9) AS "first", round(y[-1], 9) AS "last" FROM t""",
     "resample_linear": f"""WITH {_X}, r AS (SELECT vec_id, x, list_transform(range(0, 100), lambda i: i * (len(x) - 1)::DOUBLE / 99) AS pos FROM w)
         SELECT vec_id, 100 AS n, round(list_sum(list_transform(pos, lambda a: x[least(floor(a)::INT, len(x) - 1) + 1] + (x[least(least(floor(a)::INT, len(x) - 1) + 1, len(x) - 1) + 1] - x[least(floor(a)::INT, len(x) - 1) + 1]) * (a - least(floor(a)::INT, len(x) - 1)))), 6) AS total FROM r""",
+    "wav_signal": f"""WITH {_DECODED} SELECT id, CASE WHEN x IS NOT NULL THEN {Q.le('h', 25)} END::INT AS rate, CASE WHEN x IS NOT NULL THEN 1 END AS channels, CASE WHEN x IS NOT NULL THEN 16 END AS bits,
+        CASE WHEN x IS NOT NULL THEN {Q.le('h', 41)}::DOUBLE / ({Q.le('h', 25)} * 2) END AS seconds, len(x) AS frames, {_PEAK} AS peak, round({_RMS}, 9) AS rms,
+        coalesce({_PEAK} < 0.001 OR round({_RMS}, 9) < 0.0001, true) AS silent, coalesce({_PEAK} >= 0.99, false) AS clipped FROM dec""",
+    "clip_levels": f"""WITH {_DECODED}, src AS (SELECT id, x AS held, CASE WHEN id % 3 = 0 THEN [id % 7 * 0.1::DOUBLE, -0.5, 0.25] ELSE x END AS w FROM dec),
+        r AS (SELECT id, len(w) AS n_in, CASE WHEN id % 3 = 0 THEN list_transform(range(0, 6), lambda i: w[i * 2 // 5 + 1] + (w[least(i * 2 // 5 + 2, 3)] - w[i * 2 // 5 + 1]) * (i * 2 % 5) / 5.0::DOUBLE) ELSE w END AS x FROM src)
+        SELECT id, n_in, len(x) AS n_out, round({_PEAK} * g, 9) AS peak, round(list_sum(x) * g, 6) AS total FROM (SELECT *, {_levelled('x')} AS g FROM r)""",
+    "clip_trim": f"""WITH w AS (SELECT s_suppkey, list_transform(range(0, {LENGTH}), lambda i: CASE WHEN i >= s_suppkey * 37 % 20000 AND i < s_suppkey * 37 % 20000 + 4000 + s_nationkey * 900 THEN CASE WHEN i % 2 = 0 THEN {LOUD} ELSE -{LOUD} / 2 END ELSE {QUIET} END::DOUBLE) AS x FROM supplier),
+        f AS (SELECT s_suppkey, x, list_transform(range(0, len(x) // 320), lambda i: sqrt(list_sum(list_transform(x[i * 320 + 1:i * 320 + 320], lambda v: v * v)) / 320 + 1e-12)) AS e FROM w),
+        v AS (SELECT *, list_filter(range(0, len(e)), lambda i: e[i + 1] > list_max(e) * 0.01) AS voiced FROM f),
+        c AS (SELECT *, greatest(0, list_min(voiced) * 320 - 1600) AS a, least(len(x), (list_max(voiced) + 1) * 320 + 1600) AS b FROM v),
+        t AS (SELECT s_suppkey, len(x) AS n_in, CASE WHEN b - a >= 16000 THEN x[a + 1:b] ELSE x END AS x FROM c)
+        SELECT s_suppkey, n_in, len(x) AS n_out, round({_PEAK} * g, 9) AS peak, round(list_sum(x) * g, 6) AS total FROM (SELECT *, {_levelled('x')} AS g FROM t)""",
     "wav_duration": f"SELECT id, coalesce(seconds, -1.0) AS seconds FROM {WAV_SQL}",
     "shard_hashes": "SELECT id, md5(audio.bytes) AS audio_md5, duration FROM raw_clips",
 }

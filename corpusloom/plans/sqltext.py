@@ -46,9 +46,9 @@ def normalized(x: str, collapse: bool = True) -> str:
     return collapsed(y) if collapse else y
 
 
-def extended(x: str) -> str:
+def extended(x: str, spell: bool = True) -> str:
     y = f"translate({rr(null_safe(x), f'[{T.VOWELS}]')}, '{T.ARABIC + T.ASCII_DIGITS + T.ARABIC_DIGITS}', '{T.PERSIAN + T.PERSIAN_DIGITS * 2}')"
-    return collapsed(rr(numwords.text_sql(y), rf"[^{W}{S}\x{{200C}}]", " "))
+    return collapsed(rr(numwords.text_sql(y) if spell else y, rf"[^{W}{S}\x{{200C}}]", " "))
 
 
 def words(x: str) -> str:
@@ -64,4 +64,22 @@ def is_short(x: str) -> str:
 
 
 def audio_key(a: str = "audio") -> str:
-    return f"coalesce(CASE WHEN octet_length({a}.bytes) > 0 THEN md5({a}.bytes) END, nullif({a}.path, ''), 'none')"
+    return f"coalesce(md5({a}.bytes), nullif({a}.path, ''), CASE WHEN {a} IS NOT NULL THEN '{{}}' END, 'None')"
+
+
+def le(h: str, at: int, size: int = 4) -> str:
+    """Little-endian number of ``size`` bytes at a 1-based byte position of a hex text."""
+    nibble = lambda k: f"(strpos('0123456789ABCDEF', substr({h}, CAST({k} AS INT), 1)) - 1)"
+    byte = lambda i: f"({nibble(f'2 * ({at} + {i}) - 1')} * 16 + {nibble(f'2 * ({at} + {i})')})"
+    return "(" + " + ".join(f"{byte(i)}::BIGINT * {256**i}" for i in range(size)) + ")"
+
+
+def wav_plain(h: str) -> str:
+    """Whether a hex text is a WAV of the common layout with channels and a rate."""
+    return f"""coalesce(length({h}) >= 88 AND substr({h}, 1, 8) = '52494646' AND substr({h}, 17, 8) = '57415645' AND substr({h}, 25, 8) = '666D7420' AND substr({h}, 73, 8) = '64617461'
+        AND substr({h}, 45, 4) <> '0000' AND {le(h, 25)} > 0 AND {le(h, 29)} > 0, false)"""
+
+
+def wav_seconds(h: str) -> str:
+    """Seconds by the header of the common layout; in the tables every other clip is corrupt."""
+    return f"CASE WHEN {wav_plain(h)} THEN {le(h, 41)}::DOUBLE / {le(h, 29)} END"

@@ -38,8 +38,7 @@ def text_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audio_keys(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.coalesce(F.when(F.length("audio.bytes") > 0, F.md5("audio.bytes")), F.nullif(F.col("audio.path"), F.lit("")), F.lit("none"))
-    return clips(spark, sf).select("id", key.alias("audio_key"))
+    return clips(spark, sf).select("id", T.audio_key("audio").alias("audio_key"))
 
 
 def normalize_residue(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +54,7 @@ QUERIES = {
     "scan_project": scan_project,
     "text_audit": text_audit,
     "text_normalize": _each(lambda x: {"persian": T.to_persian(x), "bare": T.without_marks(x), "collapsed": T.collapsed(x), "scoring": T.for_scoring(T.null_safe(x))}),
-    "text_normalize_alt": _each(lambda x: {"extended": T.Profile(extended=True)(x), "no_vowels": T.without_vowels(x), "no_spaces": T.without_spaces(x), "digits": T.to_persian_digits(x)}),
+    "text_normalize_alt": _each(lambda x: {"extended": T.Profile(extended=True)(x), "unspelled": T.Profile(extended=True, spell_numbers=False)(x), "no_vowels": T.without_vowels(x), "no_spaces": T.without_spaces(x), "digits": T.to_persian_digits(x)}),
     "number_words": _each(lambda x: {"spelled": T.numbers_as_words(x), "normalized": T.Profile(collapse=False)(x)}),
     "fingerprint": _each(lambda x: {"letters": T.letters_only(x), "fingerprint": T.fingerprint(T.Profile()(x))}),
     "text_sizes": _each(_sizes),
@@ -69,7 +68,7 @@ SQL = {
         count(*) FILTER (regexp_matches({_N}, '[{T.MARKS}]')) AS n_marks, count(*) - count(DISTINCT {_N}) AS n_repeated,
         round(count(*) FILTER (regexp_matches({_N}, '[{T.ARABIC}]')) * 100.0 / count(*), 4)::DOUBLE AS pct_arabic FROM raw_clips""",
     "text_normalize": f"SELECT id, {Q.to_persian('text_raw')} AS persian, {Q.without_marks('text_raw')} AS bare, {Q.collapsed('text_raw')} AS collapsed, {Q.for_scoring(_N)} AS scoring FROM raw_clips",
-    "text_normalize_alt": f"""SELECT id, {Q.extended('text_raw')} AS extended, {Q.rr('text_raw', f'[{T.VOWELS}]')} AS no_vowels, {Q.rr('text_raw', f'[{Q.S}' + r'\x{200C}]')} AS no_spaces,
+    "text_normalize_alt": f"""SELECT id, {Q.extended('text_raw')} AS extended, {Q.extended('text_raw', False)} AS unspelled, {Q.rr('text_raw', f'[{T.VOWELS}]')} AS no_vowels, {Q.rr('text_raw', f'[{Q.S}' + r'\x{200C}]')} AS no_spaces,
         translate(text_raw, '{T.ARABIC + T.ASCII_DIGITS + T.ARABIC_DIGITS}', '{T.PERSIAN + T.PERSIAN_DIGITS * 2}') AS digits FROM raw_clips""",
     "number_words": f"WITH t AS (SELECT id, text_raw, {Q.to_persian(_N)} AS p FROM raw_clips) SELECT id, {Q.numwords.text_sql('text_raw')} AS spelled, {Q.numwords.text_sql('p')} AS normalized FROM t",
     "fingerprint": f"SELECT id, {Q.letters_only('text_raw')} AS letters, {Q.fingerprint(Q.normalized('text_raw'))} AS fingerprint FROM raw_clips",

@@ -32,16 +32,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, else the context's checkpoint
+    folder. Where neither is set, a temporary local folder serves a local master; any other master is an error, as its
+    executors would write to disks that nobody else reads."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        held = spark.sparkContext.getCheckpointDir()
-        configured = held or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(configured)
+        if not is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        context.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def table(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the result survives the loss of
     executors, has no lineage, and its size is known to the planner. The files go when the driver ends."""

@@ -29,6 +29,41 @@ def test_log_mel_peaks_at_the_tone():
     assert np.all(audio.log_mel(np.zeros(10)) == audio.log_mel(np.zeros(0)))
 
 
+@pytest.mark.parametrize(
+    ("loud", "rate", "want"),
+    [  # (first and last loud sample), rate -> (first kept, one past the last kept), frames of 20 ms, margin 100 ms
+        ((4000, 7999), 1000, (3900, 8100)), ((0, 1999), 1000, (0, 2100)), ((9000, 9999), 1000, (8900, 10_000)),
+        ((5000, 5009), 1000, None), ((4995, 7005), 1000, (4880, 7120)), ((0, 9999), 1000, (0, 10_000)),
+    ],
+)
+def test_trim_written_out(loud, rate, want):
+    """Ten seconds at 1 kHz; a result under a second leaves the clip whole."""
+    x = np.full(10_000, 1e-4)
+    x[loud[0] : loud[1] + 1] = 0.5
+    got = audio.trim(x + np.arange(10_000) * 1e-12, rate)
+    begin, end = want or (0, 10_000)
+    assert len(got) == end - begin and got[0] == x[begin] + begin * 1e-12
+    assert len(audio.trim(np.ones(39), rate, min_seconds=0)) == 39 and len(audio.trim(np.zeros(5000), rate)) == 5000
+
+
+def test_sources(tmp_path):
+    """Array before bytes before path; a kind that is there but bad is not made up by the next."""
+    good, path = make_wav(8000), tmp_path / "a.wav"
+    path.write_bytes(good)
+    assert audio.sourced([0.5, -0.5], None, b"bad", None)[0] == audio.RATE
+    assert audio.sourced([[1.0, 0.0], [0.0, 0.0]], 8000, None, None)[1].tolist() == [0.5, 0.0]
+    assert audio.sourced(None, None, good, None)[0] == 8000 and audio.sourced(None, None, b"bad", str(path)) is None
+    assert audio.sourced(None, None, None, str(path))[0] == 8000 and audio.sourced(None, None, None, "nowhere") is None and audio.sourced([], 8000, None, None) is None
+
+
+def test_silent_frames_are_as_transformed():
+    rng = np.random.default_rng(1)
+    for n in (0, 8, 399, 400, 16_000 * 2 + 7, 16_000 * 30 - 100, 16_000 * 31):
+        x = rng.normal(0, 0.1, n)
+        full = audio.log_mel(np.concatenate([x, np.zeros(max(0, 16_000 * 30 - n))]))
+        assert np.allclose(audio.log_mel(x), full)
+
+
 def test_features(spark):
     rows = [(1, make_wav(8000, 2, 4000)), (2, b"no"), (3, None), (4, make_wav(frames=0))]
     df = spark.createDataFrame(rows, "id int, b binary")

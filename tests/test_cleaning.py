@@ -39,7 +39,7 @@ def test_funnel_adds_up(spark, sf):
     from corpusloom.plans.cleaning import funnel
 
     r = funnel(spark, sf).first()
-    assert r.n_raw == r.n_corrupt + r.n_unknown + r.n_short + r.n_long + r.n_exact_copies + r.n_excess + r.n_kept
+    assert r.n_raw == r.n_corrupt + r.n_short + r.n_long + r.n_exact_copies + r.n_excess + r.n_kept
 
 
 def test_no_window_over_whole_groups(spark, sf):
@@ -49,21 +49,36 @@ def test_no_window_over_whole_groups(spark, sf):
     assert "WindowGroupLimit" in plan
 
 
-def test_clips_without_a_header_are_corrupt(spark, tmp_path):
-    """Bytes that are no WAV are corrupt, whatever duration is stored; a WAV of another layout or encoding is not."""
+def test_funnel_goes_by_the_header(spark, tmp_path):
+    """Bytes that are no WAV are corrupt, whatever duration is stored; a WAV of another layout or encoding is not, and
+    its own duration counts, not the stored one."""
     from corpusloom.plans import cleaning
     from tests.test_operators import make_wav
 
-    def clip(i, data):
-        return (i, (data, f"{i}.wav"), f"یک متن بلند با واژه های بسیار {'ا' * i}", 2.0)
+    def clip(i, data, stored=2.0):
+        return (i, (data, f"{i}.wav"), f"یک متن بلند با واژه های بسیار {'ا' * i}", stored)
 
-    plain = make_wav()
-    extra = make_wav(chunk=b"LIST" + (3).to_bytes(4, "little") + b"abc\0")
+    plain = make_wav(frames=24_000)
+    extra = make_wav(frames=24_000, chunk=b"LIST" + (3).to_bytes(4, "little") + b"abc\0")
     floats = plain[:20] + b"\x03\0" + plain[22:]
     mute = plain[:22] + b"\0\0" + plain[24:]
-    rows = [clip(i, d) for i, d in enumerate([plain, extra, floats, plain[:60], b"not audio at all", b"", None, b"RIFF\0\0\0\0WAVE", plain[:40], mute, extra[:30]])]
+    bad = [b"not audio at all", b"", None, b"RIFF\0\0\0\0WAVE", plain[:40], mute, extra[:30]]
+    rows = [clip(i, d, s) for i, (d, s) in enumerate([(plain, None), (extra, 99.0), (floats, 0.1), (plain[:60], float("nan"))])]
+    rows += [clip(i, d) for i, d in enumerate(bad, 4)] + [clip(20, make_wav(frames=800)), clip(21, make_wav(rate=100, frames=3100))]
     spark.createDataFrame(rows, "id long, audio struct<bytes: binary, path: string>, text_raw string, duration double").write.parquet(f"{tmp_path}/raw_clips.parquet")
-    assert {r.id for r in cleaning.prepared(spark, str(tmp_path)).filter("corrupt").collect()} == set(range(4, 11))
+    found = {r.id: r.duration for r in cleaning.prepared(spark, str(tmp_path)).collect()}
+    assert {i for i, s in found.items() if s is None} == set(range(4, 11)) and {found[i] for i in range(4)} == {1.5}
     r = cleaning.funnel(spark, str(tmp_path)).first()
-    assert (r.n_raw, r.n_corrupt, r.n_kept) == (11, 7, 4)
+    assert (r.n_raw, r.n_corrupt, r.n_short, r.n_long, r.n_kept) == (13, 7, 1, 1, 4)
     assert {r.id for r in cleaning.cleaned(spark, str(tmp_path)).collect()} == set(range(4))
+
+
+def test_audio_keys(spark):
+    """Empty bytes have a digest of their own; clips with neither bytes nor path share a key, null clips another."""
+    import hashlib
+
+    rows = [((b"x", "p"),), ((b"", "p"),), ((None, "p"),), ((None, ""),), ((None, None),), (None,)]
+    from corpusloom.functions import text
+
+    got = [r.k for r in spark.createDataFrame(rows, "audio struct<bytes: binary, path: string>").select(text.audio_key("audio").alias("k")).collect()]
+    assert got == [hashlib.md5(b"x").hexdigest(), hashlib.md5(b"").hexdigest(), "p", "{}", "{}", "None"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import signal, wav
+from corpusloom.functions import audio, signal, wav
 from corpusloom.operators import batching, guards, joins, metrics, split
 from corpusloom.sources import shards, sinks
 
@@ -97,7 +97,55 @@ def test_quality_gate(spark):
     t = spark.createDataFrame([(1, "خوب"), (1, "كتاب"), (2, " ")], "id long, t string")
     v = spark.createDataFrame([(2, "۱۲"), (3, None)], "id long, t string")
     got = {r.check: r.n_bad for r in guards.quality_gate(t, v, "id", "t").collect()}
-    assert got == {"empty_train": 0, "empty_val": 0, "repeated_train_ids": 1, "repeated_val_ids": 0, "overlapping_ids": 1, "arabic_letters": 1, "digits": 1, "blank_labels": 2}
+    want = {"missing_train": 0, "missing_val": 0, "empty_train": 0, "empty_val": 0, "train_rows_off": 0, "val_rows_off": 0, "repeated_train_ids": 1, "repeated_val_ids": 0, "overlapping_ids": 1, "arabic_letters": 1, "digits": 1, "blank_labels": 2}
+    assert got == want
+    off = {r.check: r.n_bad for r in guards.quality_gate(t, v, "id", "t", (5, 1)).collect()}
+    assert off == want | {"train_rows_off": 2, "val_rows_off": 1}
+    alone = {r.check: r.n_bad for r in guards.quality_gate(None, v, "id", "t").collect()}
+    assert alone["missing_train"] == alone["empty_train"] == 1 and alone["overlapping_ids"] == 0
+    assert guards.table_if_present(spark, "/nowhere/x.parquet") is None
+
+
+def test_joins_refuse_repeated_labels(spark):
+    a, b = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1, "x"), (1, "y"), (None, "z"), (None, "z")], "id long, cleaned_text string")
+    with pytest.raises(joins.DataError, match="repeated"):
+        joins.attach(a, b)
+    assert joins.attach(a, b, unique=False).count() == 2
+    assert joins.sanitized(b, ("cleaned_text",)).columns == ["cleaned_text"]
+    with pytest.raises(joins.DataError, match="missing"):
+        joins.sanitized(b, ("other",))
+
+
+def test_median_is_exact(spark):
+    import statistics
+
+    r = np.random.default_rng(2)
+    for x in ([], [3.0], [1.0, 2.0], [5.0] * 7, r.exponential(3, 501).tolist(), [1e-300, 1e300, 2.0, 2.0], r.integers(0, 3, 300).astype(float).tolist()):
+        df = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "v double")
+        assert metrics.median(df, "v") == (statistics.median(x) if x else None)
+        for rank in {1, len(x) // 2, len(x)} - {0}:
+            assert not x or metrics.value_at(df, "v", rank, few=2, bins=4) == sorted(x)[rank - 1]
+    assert metrics.value_at(df, "v", 10**6) is None
+
+
+def test_runs(spark):
+    df = spark.createDataFrame([("base", 110.0, 10.0), ("half", 60.0, 10.0), ("no eval", 50.0, None), ("none", None, None)], "name string, train_runtime double, eval_runtime double")
+    out = {r.name: r for r in metrics.against_baseline(metrics.run_times(df, 10, 5), "base", 3600, 4.0).collect()}
+    assert (out["base"].s_per_step, out["half"].speedup, out["half"].hours, out["half"].reference_hours) == (10.0, 2.0, 5.0, 2.0)
+    assert out["no eval"].s_per_step is None and out["no eval"].hours is None and out["none"].speedup is None
+    assert {r.name for r in metrics.chosen(df, " base ,half").collect()} == {"base", "half"}
+    with pytest.raises(joins.DataError, match="unknown names: other"):
+        metrics.chosen(df, "base, other")
+    assert metrics.storage(df, 10**9, 1, 5.0).first().fits and metrics.storage(df, 10**9, 1, 4.5).first().fits is False and metrics.storage(df).first().fits is None
+
+
+def test_split_without_keys(spark):
+    df = spark.createDataFrame([(i,) for i in range(20)] + [(None,)] * 3, "id long")
+    out = split.train_val(df, "id")
+    assert out.filter("split = 'val'").count() == 3 and out.filter("id IS NULL AND split = 'train'").count() == 3
+    assert split.subset(df, "id", 50).count() == 20 and split.subset(df, "id", 5).count() == 5
+    same = spark.createDataFrame([(7,)] * 40, "id long")
+    assert split.cut_at(same, "id", 30, few=5)[1] == 7 and split.cut_at(same, "id", 41, few=5) is None
 
 
 # --- signals ---
@@ -112,25 +160,12 @@ def test_levels(spark):
     assert arr(spark, [[1.0, 0.0], [0.5, 0.5]], signal.mono, "array<array<double>>") == [0.5, 0.5]
 
 
-def numpy_trim(x, rate, top_db, margin_ms, min_s):
-    f, m = max(1, int(rate * 0.02)), int(rate * margin_ms / 1000)
-    n = len(x) // f
-    if n < 2:
-        return x
-    e = np.sqrt((x[: n * f].reshape(n, f) ** 2).mean(1) + 1e-12)
-    v = np.flatnonzero(e > e.max() * 10 ** (-top_db / 20))
-    if not len(v):
-        return x
-    y = x[max(0, v[0] * f - m) : min(len(x), (v[-1] + 1) * f + m)]
-    return x if len(y) < rate * min_s else y
-
-
 @pytest.mark.parametrize("seed", range(6))
 def test_trim_and_resample(spark, seed):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.normal(0, 1e-4, 300 * seed), rng.normal(0, 0.3, 900), rng.normal(0, 1e-4, 100 * seed), np.zeros(seed)])
     got = arr(spark, x.tolist(), lambda c: signal.trimmed(c, 400, 40.0, 100.0, 1.0))
-    assert np.allclose(got, numpy_trim(x, 400, 40.0, 100.0, 1.0))
+    assert np.allclose(got, audio.trim(x, 400))
     got = arr(spark, x.tolist(), lambda c: signal.resampled(c, F.lit(400), 1000))
     m = round(len(x) / 400 * 1000)
     assert np.allclose(got, np.interp(np.linspace(0, len(x) - 1, m), np.arange(len(x)), x))
@@ -152,7 +187,7 @@ def test_wav(spark):
     extra = b"LIST" + (3).to_bytes(4, "little") + b"abc\0"
     rows = [(1, make_wav(8000)), (2, make_wav(16000, 2)), (3, make_wav(44100)), (4, make_wav(chunk=extra)), (5, make_wav()[:60]), (6, b""), (7, b"not audio at all"), (8, None)]
     df = spark.createDataFrame(rows, "id int, b binary")
-    head = {r.id: r.s for r in df.select("id", wav.plain_duration(F.col("b")).alias("s")).collect()}
+    head = {r.id: r.s for r in df.select("id", wav.plain_seconds(F.col("b")).alias("s")).collect()}
     assert head == {1: 0.1, 2: 0.05, 3: pytest.approx(800 / 44100), 4: None, 5: 0.05, 6: None, 7: None, 8: None}
     got = {r.id: r for r in wav.with_signal(df, "b", ["id"]).collect()}
     assert got[4].seconds == 0.05 and got[4].peak == 0.5 and got[2].channels == 2 and got[5].frames == 8 and got[5].seconds == 0.05
@@ -177,12 +212,29 @@ def test_shards(spark, tmp_path):
     assert shards.read_shards(spark, str(tmp_path), first=1).count() == 3
     with pytest.raises(joins.DataError):
         shards.shard_files(spark, str(tmp_path / "part0"))
+    with pytest.raises(joins.DataError):
+        shards.shard_files(spark, str(tmp_path / "nowhere"))
+
+
+def test_shards_at_all_depths(spark, tmp_path):
+    """None directly, none in data: every depth counts, but not the excluded folder."""
+    places = ["a", "b/c", "b/c/d", "e/f/g/h/i/j/k/l", "a/investigation_results", "investigation_results/x"]
+    for k, place in enumerate(places):
+        (tmp_path / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / place / f"train-{k}.parquet").write_bytes(b"")
+        (tmp_path / place / f"test-{k}.parquet").write_bytes(b"")
+    found = [f.removeprefix(f"file:{tmp_path}/") for f in shards.shard_files(spark, str(tmp_path))]
+    assert found == sorted(f"{p}/train-{k}.parquet" for k, p in enumerate(places[:4]))
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data/train-9.parquet").write_bytes(b"")
+    assert len(shards.shard_files(spark, str(tmp_path))) == 1
 
 
 def test_csv(spark, tmp_path):
     rows = [(1, 1.0, 'a "q", b', " x "), (2, None, "line\nbreak", "NA"), (3, 2.0, None, "")]
     df = spark.createDataFrame(rows, "id long, duration double, text_raw string, cleaned_text string")
     sinks.write_csv(df, str(tmp_path / "c"), backup="nowhere://x/y")
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbfid,") for f in (tmp_path / "c").glob("*.csv"))
     back = {r.id: r for r in shards.read_labels(spark, str(tmp_path / "c")).collect()}
     assert back[1].text_raw == 'a "q", b' and back[1].cleaned_text == " x " and back[2].text_raw == "line\nbreak" and back[2].cleaned_text == "NA" and back[3].text_raw is None
     (tmp_path / "bom.csv").write_text("﻿id,cleaned_text\n7,خوب\n", encoding="utf-8")
@@ -192,6 +244,10 @@ def test_csv(spark, tmp_path):
         shards.read_labels(spark, str(tmp_path / "bad.csv"))
     with pytest.raises(Exception, match="blank label of id 3"):
         shards.usable_labels(df).collect()
+    with pytest.raises(Exception, match="blank label of id 3"):
+        shards.read_labels(spark, str(tmp_path / "c"), usable=True).collect()
+    sinks.write_splits(spark.range(40).select("id", F.lit("x").alias("cleaned_text")), str(tmp_path / "s"), backup=str(tmp_path / "t"))
+    assert [shards.read_labels(spark, f"{tmp_path}/{f}").count() for f in ("s/cleaned", "s/train", "s/val", "t/val")] == [40, 34, 6, 6]
     sinks.write_parquet(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     sinks.write_json(df, str(tmp_path / "j"))

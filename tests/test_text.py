@@ -33,7 +33,7 @@ def test_fingerprint(spark):
 
 
 NUMBERS = [("125", "صد و بیست و پنج"), ("۱۲۵", "صد و بیست و پنج"), ("١٢٥", "صد و بیست و پنج"), ("1۲٥", "صد و بیست و پنج"), ("007", "هفت"), ("0", "صفر"), ("000", "صفر"), ("1000", "یک هزار"), ("2010", "دو هزار و ده"),
-           ("1000000", "یک میلیون"), ("१२", "دوازده"), ("1" * 25, "1" * 25)]
+           ("1000000", "یک میلیون"), ("१२", "دوازده"), ("1" * 25, "1" * 25), ("᠑᠒", "دوازده"), ("𑁧𑁨", "دوازده")]
 
 
 @pytest.mark.parametrize(("digits", "words"), NUMBERS)
@@ -77,3 +77,11 @@ def test_logs(spark):
     assert one(spark, log, lambda c: T.last_lines(c, 2)) == ["x" * 160, "last"]
     assert one(spark, "a", lambda c: T.last_lines(c, 6)) == ["a"]
     assert one(spark, " a, b ,c", T.comma_list) == ["a", "b", "c"]
+    assert one(spark, "a,b", lambda c: T.comma_list(c, ("a", "b"))) == ["a", "b"]
+    with pytest.raises(Exception, match="unknown: c"):
+        one(spark, "a,c", lambda c: T.comma_list(c, ("a", "b")))
+
+
+def test_log_fields(spark):
+    log = "{'train_runtime': '801.5', 'eval_runtime':  61.5}\n[PEAK VRAM] 11.75 GiB"
+    assert [one(spark, log, lambda c, p=p: T.number_after(c, p)) for p in T.LOG_FIELDS.values()] == [801.5, 61.5, None, None, 11.75]
