@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators.skew import join_per_key
+from corpusloom.operators.skew import join_per_key, join_spread
 
 
 @pytest.mark.parametrize("least", [10, 1_000_000])
@@ -30,3 +30,12 @@ def test_hot_rows_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert max(r["count"] for r in sizes) < 500
+
+
+@pytest.mark.parametrize("least", [10, 1_000_000])
+def test_spread_equals_a_plain_join(spark, least):
+    data = [(i, None if i % 17 == 0 else "hot" if i % 3 else f"k{i % 40}") for i in range(300)]
+    a, b = spark.createDataFrame(data, "x long, k string"), spark.createDataFrame(data[:150], "y long, k string")
+    got = join_spread(a, b, ["k"], F.col("x"), share=0.05, least=least, salts=8)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, "k").select(*got.columns).collect()))
+    assert join_spread(a.limit(0), b, ["k"], F.col("x")).count() == 0
