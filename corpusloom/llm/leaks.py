@@ -10,7 +10,8 @@ stated query set: they are sent to the executors in blocks of bounded size, the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom import runtime
 from corpusloom.llm import forms, stream
-from corpusloom.llm.lookalikes import repair_text
+from corpusloom.llm.arrow import with_columns
+from corpusloom.llm.lookalikes import OTHER, repair, repair_text, shaped_words
 
 RUN, EDITS, Q = 12, 1, 16
 BAND = 8  # diagonals in a band; bands overlap by half
@@ -230,6 +233,29 @@ def matches(texts: list[str | None], items: Items, exact: bool = True) -> list[t
     return sorted(out)
 
 
+def repaired_items(items: DataFrame, key: str, text: str, documents: DataFrame, doc_text: str) -> DataFrame:
+    """(i, t): the items, their look-alike letters repaired by the words of documents and items. The documents are read
+    for their words only where an item holds letters that may be look-alikes."""
+    rows = items.select(F.col(key).alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    odd = rows.filter(F.col("t").rlike(OTHER))
+    if odd.isEmpty():
+        return rows
+    shaped = with_columns(odd, {"__shaped": ("string", lambda v: [forms.shape(x) for x in v])}, "t", drop=("t",)).withColumnRenamed("__shaped", "t")
+    texts = documents.select(F.col(doc_text).alias("t")).unionByName(rows.select("t"))
+    return rows.filter(~F.col("t").rlike(OTHER)).unionByName(repair(runtime.table(shaped), "t", shaped_words(texts, "t")))
+
+
+_READY: dict[str, Items] = {}
+
+
+def _once(name: str, make: Callable[[], Items]) -> Items:
+    """What ``make`` gives, made once in a worker process for all tasks of the same name; the last one is kept."""
+    if name not in _READY:
+        _READY.clear()
+        _READY[name] = make()
+    return _READY[name]
+
+
 def item_blocks(items: DataFrame, key: str, text: str, block: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
     """The query set in blocks of at most ``block`` characters (or one item)."""
     ids, texts, size = [], [], 0
@@ -254,13 +280,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
     if not 0 <= edits <= BAND // 2:
         raise ValueError(f"edits must be between 0 and {BAND // 2}")
     spark = documents.sparkSession
+    items = repaired_items(items, item_key, item_text, documents, doc_text)
     docs = documents.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = None
-    for ids, texts in item_blocks(items, item_key, item_text, block):
+    for ids, texts in item_blocks(items, "i", "t", block):
         sent = spark.sparkContext.broadcast((ids, texts))  # at most `block` characters
+        name = uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ready = prepare(*sent.value, run, edits)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            ready = _once(name, lambda: prepare(*sent.value, run, edits))
             for b in batches:
                 pairs = matches(b.column("text").to_pylist(), ready, exact)
                 rows, at = [p[0] for p in pairs], [p[1] for p in pairs]
@@ -282,11 +310,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _found(spark, sf)
 
 
+def p7_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and items that share a passage of 12 words with at most one edit of a character."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    return leaks(read("documents"), read("heldout_items"), "doc_id", "text", "item_id", "text", exact=False)
+
+
 def p7_leak_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per held-out split and item: the documents it leaked into."""
     items = spark.read.parquet(f"{sf}/heldout_items.parquet").select("item_id", "split")
     return _found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).join(items, "item_id").select("split", "item_id", "n_docs", "first_doc")
 
 
-QUERIES = {"p7_found": p7_found, "p7_leak_report": p7_leak_report}
+QUERIES = {"p7_found": p7_found, "p7_edited": p7_edited, "p7_leak_report": p7_leak_report}
 SQL: dict[str, str] = {}

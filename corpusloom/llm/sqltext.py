@@ -121,4 +121,44 @@ def p7() -> str:
     return f"WITH {runs('d', 'doc_id', 'documents')}, {runs('i', 'item_id', 'heldout_items')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)"
 
 
-SQL = {"p2_found": p2(), "p3_found": p3(), "p4_found": p4(), "p5_found": p5(), "p6_found": p6(), "p7_found": p7()}
+def _forms() -> str:
+    return f"t AS (SELECT id, text_raw FROM raw_clips WHERE text_raw IS NOT NULL), f AS (SELECT id, text_raw, {form('text_raw')} AS f FROM t)"
+
+
+def p2_report() -> str:
+    return f"WITH {_forms()} SELECT count(*) AS n_texts, count(DISTINCT text_raw) AS n_stored, count(DISTINCT f) AS n_forms, count(*) FILTER (f <> text_raw) AS n_changed FROM f"
+
+
+def p2_classes() -> str:
+    return f"""WITH {_forms()}, g AS (SELECT DISTINCT * FROM f WHERE length({letters('f')}) >= 15), c AS (SELECT f, min(id) AS class_id, count(*) AS n FROM g GROUP BY 1 HAVING count(DISTINCT text_raw) > 1),
+        a AS (SELECT f, text_raw, count(*) AS alike FROM g GROUP BY 1, 2) SELECT id, class_id, sum(n - alike)::BIGINT AS n_links FROM g JOIN c USING (f) JOIN a USING (f, text_raw) GROUP BY 1, 2"""
+
+
+def p3_report() -> str:
+    return f"""WITH {_sets('v', 'val_clips', 'id')}, {_sets('t', 'train_clips', 'id')}, c AS (SELECT v.id AS x, t.id AS y, count(*) AS k FROM v JOIN vn USING (id) JOIN t ON t.w = v.w JOIN tn ON tn.id = t.id GROUP BY 1, 2),
+        p AS (SELECT x, y FROM c JOIN vn ON vn.id = x JOIN tn ON tn.id = y WHERE k * 5 >= (vn.n + tn.n - k) * 3 UNION SELECT v.id, t.id FROM val_clips v JOIN train_clips t ON t.id = v.id),
+        q AS (SELECT DISTINCT s.split, s.source, x, y FROM p JOIN val_clips s ON s.id = p.x)
+        SELECT split, source, count(DISTINCT x) AS n_held, count(DISTINCT y) AS n_train, count(*) AS n_pairs, count(*) FILTER (x = y) AS n_same_id FROM q GROUP BY 1, 2"""
+
+
+def p3_classes() -> str:
+    return f"""WITH {_sets('v', 'val_clips', 'id')}, {_sets('t', 'train_clips', 'id')}, c AS (SELECT v.id AS x, t.id AS y, count(*) AS k FROM v JOIN vn USING (id) JOIN t ON t.w = v.w JOIN tn ON tn.id = t.id GROUP BY 1, 2),
+        p AS (SELECT x, y FROM c JOIN vn ON vn.id = x JOIN tn ON tn.id = y WHERE k * 5 >= (vn.n + tn.n - k) * 3 UNION SELECT v.id, t.id FROM val_clips v JOIN train_clips t ON t.id = v.id),
+        k AS (SELECT id, string_agg(w, ' ' ORDER BY w) AS k FROM v JOIN vn USING (id) GROUP BY 1), m AS (SELECT id, min(id) OVER (PARTITION BY k) AS class_id FROM k),
+        q AS (SELECT DISTINCT s.split, s.source, x, y FROM p JOIN val_clips s ON s.id = p.x)
+        SELECT split, source, x AS held_id, coalesce(any_value(class_id), x) AS class_id, count(DISTINCT y) AS n_links FROM q LEFT JOIN m ON m.id = x GROUP BY 1, 2, 3"""
+
+
+def p4_groups() -> str:
+    return f"""WITH RECURSIVE t AS (SELECT DISTINCT id, list_sort(list_distinct({words('cleaned_text')})) AS w FROM train_clips WHERE cleaned_text IS NOT NULL), l AS (SELECT * FROM t WHERE len(w) >= 8),
+        cls AS (SELECT w, min(id) AS c FROM l GROUP BY 1), u AS (SELECT c, len(w) AS n, unnest(w) AS x FROM cls), h AS (SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.c <> b.c GROUP BY 1, 2),
+        e AS (SELECT a, b FROM h WHERE k * 5 >= (na + nb - k) * 3),
+        cc(c, g) USING KEY (c) AS (SELECT c, c FROM cls UNION (SELECT u.c, min(v.g) FROM recurring.cc u JOIN e ON e.a = u.c JOIN cc v ON v.c = e.b WHERE v.g < u.g GROUP BY u.c))
+        SELECT l.id, cls.c AS class_id, cc.g AS group_id, (SELECT count(*) FROM e WHERE e.a = cls.c) AS n_links FROM l JOIN cls USING (w) JOIN cc ON cc.c = cls.c"""
+
+
+SQL = {
+    "p2_found": p2(), "p2_form_report": p2_report(), "p2_classes": p2_classes(), "p3_found": p3(), "p3_overlap_report": p3_report(), "p3_classes": p3_classes(), "p4_found": p4(), "p4_groups": p4_groups(), "p5_found": p5(), "p6_found": p6(), "p7_found": p7(),
+    "p6_copy_counts": f"SELECT tab, keep_id, count(*) AS n_copies FROM ({p6()}) GROUP BY 1, 2",
+    "p7_leak_report": f"SELECT i.split, i.item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM ({p7()}) l JOIN heldout_items i USING (item_id) GROUP BY 1, 2",
+}

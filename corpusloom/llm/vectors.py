@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +42,22 @@ def frequent(classes: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.n
 
 
 class Order:
-    """The global order of words, and their weights."""
+    """The global order of words, and their weights. ``ratio``: how much more the square of the heaviest weight is than
+    that of the lightest; 1 for equal weights."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, weights: str = "unit", most: int = FREQUENT):
-        if weights not in ("unit", "idf"):
-            raise ValueError("weights are 'unit' or 'idf'")
-        self.hashes, self.counts, self.n, self.weights = hashes, counts, n, weights
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, ratio: float = 1.0):
+        if ratio < 1:
+            raise ValueError("the ratio of the weights must be at least 1")
+        self.hashes, self.counts, self.n, self.ratio = hashes, counts, n, ratio
         self.least = max(1.0, counts.min() if len(counts) else 1.0)
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Position of each word among the frequent ones, their number for all others."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, len(self.hashes))
+
     def counts_of(self, h: np.ndarray) -> np.ndarray:
         """Occurrences of each word, 0 for the rare ones."""
         if not len(self.hashes):
@@ -59,8 +66,12 @@ class Order:
         return np.where(self.hashes[at] == h, self.counts[at], 0)
 
     def weights_of(self, counts: np.ndarray) -> np.ndarray:
-        """1 for each word, or its inverse document frequency; rare words count like the rarest frequent one."""
-        return np.ones(len(counts)) if self.weights == "unit" else np.log1p(self.n / np.maximum(counts, self.least))
+        """Weights whose square goes from 1 to ``ratio`` with the inverse document frequency; rare words count like the
+        rarest frequent one."""
+        if self.ratio == 1:
+            return np.ones(len(counts))
+        idf = np.log1p(self.n / np.maximum(counts, self.least)) / np.log1p(self.n / self.least)
+        return np.sqrt(1 + (self.ratio - 1) * np.minimum(idf, 1.0))
 
     def sort(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, weights of unit length) of each segment in the global order."""
@@ -87,10 +98,17 @@ def by_size(starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(n), rows, starts[rows][:, None] + np.arange(n)
 
 
+def slices(rows: np.ndarray, width: int, most: int = 1_000_000) -> Iterator[slice]:
+    """Parts of ``rows`` whose matrices of ``width`` columns hold at most ``most`` numbers (or one row)."""
+    step = max(1, most // max(1, width))
+    for lo in range(0, len(rows), step):
+        yield slice(lo, lo + step)
+
+
 def pair_columns(p: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j of the first ``p`` positions."""
-    ij = np.array(list(combinations(range(p), 2)), np.int64).reshape(-1, 2)
-    return ij[:, 0], ij[:, 1]
+    i, j = np.triu_indices(p, 1)
+    return i, j
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -65,3 +65,26 @@ def test_qgrams_and_squeeze():
     a = leaks.qgrams(np.arange(40) % 10, 8)
     assert len(a) == 33 and a[0] == a[10] == a[20] and len(set(a[:10].tolist())) == 10
     assert len(leaks.qgrams(np.arange(5), 8)) == 0
+
+
+def test_spoilt_items_are_repaired(spark):
+    """An item spoilt with look-alikes meets the plain document, and the other way round, and two spoilt in different ways."""
+    a, b = text(15), text(15)
+    plain, one, two = (f"{a} {w} {b[:40]} {w} {b}" for w in ("studio", "ѕtudіо", "studiо"))
+    docs = spark.createDataFrame([(1, plain), (2, one), (3, two), (4, text(30) + " studio")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, one), (11, plain), (12, None)], "item_id long, text string")
+    got = {tuple(r) for r in leaks.leaks(docs, items, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(d, i) for d in (1, 2, 3) for i in (10, 11)}
+
+
+def test_edited_passages(spark):
+    """Every kind of edit within the budget is found and shorter passages are not, against a plain scan by edit distance."""
+    item = text(40)
+    w = item.split()
+    passage = " ".join(w[5:17])
+    k = passage.index(" ", 20) + 1
+    edited = {1: passage[:k] + "ژ" + passage[k:], 2: passage[:k] + passage[k + 1 :], 3: passage[:k] + "ژ" + passage[k + 1 :], 4: " ".join(w[5:11]), 5: passage}
+    docs = spark.createDataFrame([(i, f"{text(20)} {p} {text(20)}") for i, p in edited.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in leaks.leaks(docs, items, "doc_id", "text", "item_id", "text", exact=False).collect()} == {1, 2, 3, 5}
+    assert {r.doc_id for r in leaks.leaks(docs, items, "doc_id", "text", "item_id", "text").collect()} == {5}
