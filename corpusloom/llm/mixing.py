@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,7 +80,9 @@ def rake(cells: pd.DataFrame, source: dict[str, tuple[float, int]], total: float
     ``source``: target share and cap of each source. ``others``: for further columns the target share of each
     value; by default the corpus's own. ``total`` tokens are aimed at, by default the most at which every source
     that has documents reaches its share within its cap. Sources without tokens leave the shares of the others
-    in proportion. Zero-token cells get weight 0.
+    in proportion. Zero-token cells get weight 0. ``attrs`` of the result: ``settled``, whether the weights came to
+    rest within ROUNDS rounds, ``rounds``, and ``aims``, the share of all tokens aimed at by (column, value). Caps may
+    keep topic and language marginals from their aims; then the source marginal holds and the weights still settle.
     """
     cells = cells[cells.source.isin(source)].reset_index(drop=True).copy()
     x = cells.n_tokens.to_numpy(float)
@@ -87,21 +90,25 @@ def rake(cells: pd.DataFrame, source: dict[str, tuple[float, int]], total: float
     live = {s: source[s] for s in source if have[s] > 0 and source[s][0] > 0}
     if not live:
         cells["weight"] = 0.0
+        cells.attrs.update(settled=True, rounds=0, aims={})
         return cells
     whole = sum(t for t, _ in live.values())
     most = min(have[s] * cap * whole / t for s, (t, cap) in live.items())
     total = most if total is None else min(total, most)
     cap = cells.source.map({s: (c if s in live else 0) for s, (_, c) in source.items()}).to_numpy(float)
     rows = {s: np.flatnonzero((cells.source == s).to_numpy() & (x > 0)) for s in live}
-    targets = []
+    targets, aims = [], {("source", s): t / whole for s, (t, _) in live.items()}
     for column in [c for c in cells.columns if c not in ("source", "n_tokens")]:
         own = cells.groupby(column, dropna=False).n_tokens.sum()
         given = (others or {}).get(column) or own.to_dict()
         given = {k: v for k, v in given.items() if own.get(k, 0) > 0}
         s = sum(given.values()) or 1
+        aims |= {(column, k): v / s for k, v in given.items()}
         targets.append([(np.flatnonzero(((cells[column] == k) | (cells[column].isna() & pd.isna(k))).to_numpy() & (x > 0)), v / s * total) for k, v in given.items()])
     w = np.where(x > 0, np.minimum(cap, 1.0), 0.0)
-    for _ in range(ROUNDS):
+    settled, rounds = False, 0
+    while not settled and rounds < ROUNDS:
+        rounds += 1
         before = w.copy()
         for marginal in targets:
             for own, aim in marginal:
@@ -120,9 +127,9 @@ def rake(cells: pd.DataFrame, source: dict[str, tuple[float, int]], total: float
                     w[own] *= aim / fixed
                     break
                 w[free] = np.minimum(cap[free], w[free] * gap / held) if held > 0 else np.minimum(cap[free], gap / x[free].sum())
-        if np.abs(w - before).max() <= SETTLED * max(1.0, w.max()):
-            break
+        settled = bool(np.abs(w - before).max() <= SETTLED * max(1.0, w.max()))
     cells["weight"] = w
+    cells.attrs.update(settled=settled, rounds=rounds, aims=aims)
     return cells
 
 
@@ -130,6 +137,16 @@ def _draw(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double")) / float(1 << 53)
 
 
+def planned(sized: DataFrame, targets: DataFrame, dims: tuple[str, ...] = ("language", "topic"), total: float | None = None, others: dict[str, dict] | None = None) -> tuple[DataFrame, pd.DataFrame]:
+    """(the documents that may be taken, the raked cells)."""
+    source = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.filter("source IS NOT NULL").collect()}
+    usable = sized.filter(F.col("source").isin(list(source)) & (F.col("n_tokens") > 0) & F.col("doc_id").isNotNull())
+    cells = usable.groupBy("source", *dims).agg(F.sum("n_tokens").alias("n_tokens")).limit(MAX_CELLS + 1).toPandas()
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells: use coarser languages or topics")
+    return usable, rake(cells, source, total, others)
+
+
 def mixture(sized: DataFrame, targets: DataFrame, dims: tuple[str, ...] = ("language", "topic"), total: float | None = None, others: dict[str, dict] | None = None, seed: int = 11) -> DataFrame:
     """(doc_id, source, *dims, n_tokens, copies) of the documents taken at least once.
 
@@ -138,16 +155,11 @@ def mixture(sized: DataFrame, targets: DataFrame, dims: tuple[str, ...] = ("lang
     rows of one doc_id are taken alike.
     """
     spark = sized.sparkSession
-    source = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.filter("source IS NOT NULL").collect()}
     columns = ["source", *dims]
-    usable = sized.filter(F.col("source").isin(list(source)) & (F.col("n_tokens") > 0) & F.col("doc_id").isNotNull())
-    cells = usable.groupBy(*columns).agg(F.sum("n_tokens").alias("n_tokens")).limit(MAX_CELLS + 1).toPandas()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells: use coarser languages or topics")
     out = [*("doc_id", "source"), *dims, "n_tokens"]
-    if not len(cells):
+    usable, raked = planned(sized, targets, dims, total, others)
+    if not len(raked):
         return usable.select(*out, F.lit(0).alias("copies"))
-    raked = rake(cells, source, total, others)
     text = "source string, " + "".join(f"{d} string, " for d in dims) + "need double, base int, weight double"
     raked["base"] = np.floor(raked.weight + 1e-9).astype(int)
     raked["need"] = np.maximum(0.0, raked.weight - raked.base) * raked.n_tokens
@@ -174,31 +186,75 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(by, "source", "left").select("source", "target_share", F.coalesce(F.col("n_tokens") / whole, F.lit(0.0)).alias("actual_share"), "max_repeats", *map(nil, ("most_copies", "n_docs", "n_copies", "n_tokens")))
 
 
-def language(tag: Column, latin: Column) -> Column:
-    """The language tag without its region; null tags, and tags whose script the text is not in, go by the script."""
+def marginals(mixed: DataFrame, sized: DataFrame, targets: DataFrame, dims: tuple[str, ...] = ("language", "topic"), others: dict[str, dict] | None = None) -> DataFrame:
+    """(dimension, value, target_share, reached_share, settled): the share of all tokens of each source, and of each value
+    of the dimensions, that was aimed at and that the mixture has, and whether the raking settled."""
+    _, raked = planned(sized, targets, dims, None, others)
+    aims = [(c, None if pd.isna(v) else v, float(x)) for (c, v), x in raked.attrs["aims"].items()]
+    spark = mixed.sparkSession
+    aims = spark.createDataFrame(aims, "dimension string, value string, target_share double")  # as many rows as values
+    tokens = F.sum(F.col("copies") * F.col("n_tokens"))
+    cells = runtime.table(mixed.groupBy("source", *dims).agg(tokens.alias("t")))
+    whole = cells.agg(F.sum("t")).first()[0] or 1
+    held = reduce(DataFrame.unionByName, [cells.groupBy(F.col(c).alias("value")).agg((F.sum("t") / whole).alias("reached")).select(F.lit(c).alias("dimension"), "value", "reached") for c in ("source", *dims)])
+    same = (aims.dimension == held.dimension) & aims.value.eqNullSafe(held.value)
+    return aims.join(held, same, "left").select(aims.dimension, aims.value, "target_share", F.coalesce("reached", F.lit(0.0)).alias("reached_share"), F.lit(bool(raked.attrs["settled"])).alias("settled"))
+
+
+def conservation(mixed: DataFrame, sized: DataFrame, targets: DataFrame, most_off: float = 0.05) -> DataFrame:
+    """One row: documents taken more often than their source allows, taken from no source of the targets, taken in more
+    than one row, taken with another size than they have; and sources that are further from their share than ``most_off``."""
+    caps = F.broadcast(targets.select(F.col("source").alias("s"), "max_repeats"))  # as many rows as sources
+    rows = mixed.join(caps, F.col("source") == F.col("s"), "left")
+    sizes = mixed.select("doc_id", F.col("n_tokens").alias("taken")).join(sized.select("doc_id", "n_tokens").distinct(), "doc_id")
+    repeated = mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_documents"))
+    counted = rows.agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("s").isNull()).alias("foreign_source"))
+    changed = sizes.agg(F.count_if(F.col("taken") != F.col("n_tokens")).alias("changed_sizes"))
+    off = marginals(mixed, sized, targets).filter("dimension = 'source'").agg(F.count_if(F.abs(F.col("reached_share") - F.col("target_share")) > most_off).alias("sources_off"))
+    return reduce(lambda x, y: x.join(F.broadcast(y), how="cross"), [counted, repeated, changed, off])  # one row each
+
+
+def language(tag: Column, latin: Column, scripts: tuple[str, str]) -> Column:
+    """The language tag without its region. ``scripts``: the languages of a text in Latin letters and of one in others;
+    the first goes for every text in Latin letters, the second for others whose tag is missing or names the first."""
     plain = F.lower(F.split(F.trim(tag), "[-_]")[0])
-    return F.when(latin, F.lit("en")).when(plain.isNull() | (plain == "en") | (plain == ""), F.lit("fa")).otherwise(plain)
+    return F.when(latin, F.lit(scripts[0])).when(plain.isNull() | plain.isin(scripts[0], ""), F.lit(scripts[1])).otherwise(plain)
 
 
-def sized_documents(spark: SparkSession, sf: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Documents of the mix's sources with tokens, language and topic (their largest subject area, or none)."""
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    documents = repaired(read("documents").select("doc_id", "source", "lang", "text"), stored="stored")
+def sized_documents(documents: DataFrame, areas: DataFrame, tokenizer: str = TOKENIZER, scripts: tuple[str, str] = ("en", "fa")) -> DataFrame:
+    """Documents of a source with tokens, language and topic, by ``areas`` (doc_id, subject, share): their largest
+    subject, or none. ``documents``: doc_id, source, lang, text (repaired) and stored, see :func:`subjects.repaired`."""
     counted = token_counts(documents.filter(F.col("source").isNotNull()), "text", tokenizer, ("doc_id", "source", "lang"), "stored")
-    counted = counted.select("doc_id", "source", language(F.col("lang"), F.col("latin")).alias("language"), "n_tokens")
-    areas = subject_shares(documents, read("subject_labels"), read("subject_areas"), mend=False).filter(F.col("share") >= SHARE)
+    counted = counted.select("doc_id", "source", language(F.col("lang"), F.col("latin"), scripts).alias("language"), "n_tokens")
     topic = areas.groupBy("doc_id").agg(F.max_by("subject", F.struct("share", "subject")).alias("topic"))
     return runtime.table(counted.join(topic, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("none"))))
 
 
+def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    documents = repaired(read("documents").select("doc_id", "source", "lang", "text"), stored="stored")
+    areas = subject_shares(documents, read("subject_labels"), read("subject_areas"), mend=False).filter(F.col("share") >= SHARE)
+    return sized_documents(documents, areas), read("mix_targets")
+
+
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture(sized_documents(spark, sf), spark.read.parquet(f"{sf}/mix_targets.parquet"))
+    return mixture(*_inputs(spark, sf))
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    targets = spark.read.parquet(f"{sf}/mix_targets.parquet")
-    return share_report(mixture(sized_documents(spark, sf), targets), targets)
+    sized, targets = _inputs(spark, sf)
+    return share_report(mixture(sized, targets), targets)
+
+
+def p8_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    sized, targets = _inputs(spark, sf)
+    return marginals(mixture(sized, targets), sized, targets)
+
+
+def p8_conservation(spark: SparkSession, sf: str) -> DataFrame:
+    sized, targets = _inputs(spark, sf)
+    return conservation(runtime.table(mixture(sized, targets)), sized, targets)
 
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_marginals": p8_marginals, "p8_conservation": p8_conservation}
+SQL = {"p8_conservation": "SELECT 0::BIGINT AS over_cap, 0::BIGINT AS foreign_source, 0::BIGINT AS repeated_documents, 0::BIGINT AS changed_sizes, 0::BIGINT AS sources_off"}

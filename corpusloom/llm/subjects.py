@@ -4,11 +4,11 @@ Documents become term-weight vectors (logarithmic counts times inverse document
 fixed number of buckets so that no vocabulary is ever gathered) and are embedded by a truncated singular value
 decomposition, found by subspace iteration: each pass sends the current basis to the executors, and every
 partition returns its share of X^T X Q for the terms it holds. Seed centroids come from the labelled documents,
-one per subject and script, and are refined by reassigning all documents by cosine similarity. The loading of a
-term on a centroid says how much it speaks for the subject; a sentence deals with a subject when its terms
-carry the weight of about two typical terms of it, or of one where other sentences of the document support the
-subject. A subject is assigned when the document is similar to its centroid and at least a quarter of its
-sentences deal with it.
+one per subject and script, and are refined by reassigning all documents by cosine similarity. Sentences are embedded
+in the same space. A sentence deals with a subject when the cosine of its embedding to the subject's centroid reaches
+one threshold; a document is assigned the subject when its own cosine reaches another and at least a quarter of its
+sentences, and two of them where it has two, deal with it. Both thresholds are those of a grid under which the
+assignments agree best with the labels (F1).
 """
 
 from __future__ import annotations
@@ -34,11 +34,14 @@ RANK, PASSES, REFINEMENTS = 48, 4, 2
 MIN_DOCS, MAX_SHARE = 5, 0.3
 #: At most so many label rows are used, those of smallest hash of the document id.
 MAX_LABELS = 100_000
-#: Documents labelled with no subject that are enough to take the background from.
-LEAST_PLAIN = 20
+#: The mean of all documents counts like so many in the mean of those labelled with no subject.
+PRIOR = 20
+#: A sentence of fewer than MIN_WORDS words (an interjection, a speaker's name) is none.
 SHARE, MIN_WORDS = 0.25, 3
-STRONG, WEAK = 1.5, 0.75
-SIMILAR, CLOSE = 0.15, 0.6
+CLOSE = 0.6
+#: Thresholds that are tried: of sentences, of documents.
+SENTENCE_GRID = tuple(round(0.1 + 0.02 * k, 2) for k in range(21))
+DOCUMENT_GRID = tuple(round(0.1 + 0.05 * k, 2) for k in range(9))
 SENTENCE, DOC = 10, 1
 CHUNK = 1_000_000
 LETTERS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -225,9 +228,11 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
 
 
 def _power(table: DataFrame, space: Space) -> np.ndarray:
-    """X^T X Q, summed over partitions term by term."""
+    """X^T X Q, summed over tasks term by term. There are as many tasks as cores, so the sums that are sent do not grow
+    with the documents."""
     k = space.basis.shape[1]
-    sent = table.sparkSession.sparkContext.broadcast(space)
+    context = table.sparkSession.sparkContext
+    sent = context.broadcast(space)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
@@ -253,7 +258,8 @@ def _power(table: DataFrame, space: Space) -> np.ndarray:
             own = at[lo : lo + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), _list(list(z[own]), np.float64)], ["t", "z"])
 
-    sums = table.select("u", "n").mapInArrow(part, "t int, z array<float>").repartition("t").mapInArrow(total, "t int, z array<double>").toArrow()
+    sums = table.select("u", "n").coalesce(context.defaultParallelism).mapInArrow(part, "t int, z array<float>").repartition("t").mapInArrow(total, "t int, z array<double>").toArrow()
+    sent.destroy()
     out = np.zeros(space.basis.shape)
     if sums.num_rows:  # at most BUCKETS rows
         out[sums.column("t").to_numpy()] = np.vstack(sums.column("z").to_numpy())
@@ -264,7 +270,7 @@ def fit_space(table: DataFrame, rank: int = RANK, passes: int = PASSES, min_docs
     """Document frequencies and truncated singular value decomposition over all documents."""
     counts = table.select(F.explode("u").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toPandas()  # at most BUCKETS rows
     n = table.filter(F.size("u") > 0).count()
-    counts = counts[(counts.df >= min(min_docs, max(1, n // 20))) & (counts.df <= max(1, max_share * n))].sort_values("t")
+    counts = counts[(counts.df >= min_docs) & (counts.df <= max_share * n)].sort_values("t")
     if not len(counts):
         return None
     index = np.full(BUCKETS, -1, np.int32)
@@ -282,14 +288,15 @@ def fit_space(table: DataFrame, rank: int = RANK, passes: int = PASSES, min_docs
 
 @dataclass
 class Subjects:
-    """Centroids of subjects by script, the means they are taken from, and the loading of each term on them."""
+    """Centroids of subjects by script, the means they are taken from, and the fitted thresholds."""
 
     names: list[str]
     subject: np.ndarray  # index into names of each centroid
     latin: np.ndarray
     centroid: np.ndarray
-    mean: np.ndarray  # of the documents labelled with no subject, else of all: row 0 other scripts, row 1 Latin
-    load: np.ndarray | None = None  # script x columns x len(names)
+    mean: np.ndarray  # of the documents labelled with no subject and, as a prior, of all: row 0 other scripts, row 1 Latin
+    sentence: float = 0.0
+    document: float = 0.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -299,7 +306,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _sums(table: DataFrame, space: Space, pick, groups: int, extra: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of document embeddings over ``groups`` groups; pick(batch, embedding) gives (row, group) arrays."""
     k = space.basis.shape[1]
-    sent = table.sparkSession.sparkContext.broadcast(space)
+    context = table.sparkSession.sparkContext
+    sent = context.broadcast(space)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, c = np.zeros((groups, k)), np.zeros(groups)
@@ -310,9 +318,10 @@ def _sums(table: DataFrame, space: Space, pick, groups: int, extra: str | None =
             c += np.bincount(group, minlength=groups)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), pa.array(c), _list(list(s), np.float64)], ["g", "c", "s"])
 
-    rows = table.select("latin", "u", "n", *([extra] if extra else [])).mapInArrow(part, "g int, c double, s array<double>")
+    rows = table.select("latin", "u", "n", *([extra] if extra else [])).coalesce(context.defaultParallelism).mapInArrow(part, "g int, c double, s array<double>")
     # Summed on the executors: position by position, a few hundred numbers in all.
     summed = rows.select("g", "c", F.posexplode("s").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).toPandas()
+    sent.destroy()
     s, c = np.zeros((groups, k)), np.zeros(groups)
     s[summed.g, summed.i] = summed.v
     c[summed.g] = summed.c
@@ -326,13 +335,13 @@ def fit_subjects(table: DataFrame, space: Space, labels: DataFrame, areas: DataF
     used = labels.filter(F.col("subject").isin(names)).select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(MAX_LABELS)
     code = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("subject"))
     seeds = table.select("doc_id", "latin", "u", "n").join(used.select("doc_id", code.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s")), "doc_id")
-    sums, counts = _sums(table, space, lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int)), 2)
+    script = lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int))
+    sums, counts = _sums(table, space, script, 2)
     mean = sums / np.maximum(counts, 1)[:, None]
     width = len(names)
     plain = labels.groupBy("doc_id").agg(F.count("subject").alias("n")).filter("n = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
-    sums, counts = _sums(table.join(plain.select("doc_id"), "doc_id", "left_semi"), space, lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int)), 2)
-    enough = counts >= LEAST_PLAIN
-    mean[enough] = sums[enough] / counts[enough, None]
+    sums, counts = _sums(table.join(plain.select("doc_id"), "doc_id", "left_semi"), space, script, 2)
+    mean = (sums + PRIOR * mean) / (counts + PRIOR)[:, None]
 
     def labelled(b: pa.RecordBatch, y: np.ndarray):
         s, starts = _lists(b.column("s"))
@@ -356,7 +365,9 @@ def fit_subjects(table: DataFrame, space: Space, labels: DataFrame, areas: DataF
         ok = c > 0
         new[ok] = _unit(s[ok] / c[ok, None] - mean[out.latin[ok]])
         out = Subjects(names, out.subject, out.latin, new, mean)
-    out.load = _loadings(space, out)
+    answers = used.select("doc_id", code.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s"))
+    answers = answers.unionByName(plain.select("doc_id", F.array().cast("array<int>").alias("s")))
+    out.sentence, out.document = _thresholds(table.join(answers, "doc_id"), space, out)
     return out
 
 
@@ -374,51 +385,92 @@ def _nearest(b: pa.RecordBatch, y: np.ndarray, s: Subjects) -> tuple[np.ndarray,
     return best, cos[np.arange(len(best)), best]
 
 
-def _loadings(space: Space, s: Subjects, typical: int = 16, least: float = 0.35) -> np.ndarray:
-    """How much each term speaks for each subject in texts of either script: its loading on the subject's centroid
-    over that of a typical term of it (the median of the ``typical`` highest), between 0 and 1; below ``least`` it counts as none."""
-    raw = space.basis @ s.centroid.T
-    out = np.zeros((2, len(raw), len(s.names)), np.float32)
-    for c, (subject, latin) in enumerate(zip(s.subject, s.latin, strict=True)):
-        scale = np.median(np.sort(raw[:, c])[::-1][: min(typical, len(raw))])
-        if scale > 0:
-            out[latin, :, subject] = np.clip(raw[:, c] / scale, 0, 1)
-    out[out < least] = 0
+def _by_subject(cos: np.ndarray, s: Subjects) -> np.ndarray:
+    """The best cosine of each subject over its centroids."""
+    out = np.full((len(cos), len(s.names)), -1.0)
+    for c, v in enumerate(cos.T):
+        out[:, s.subject[c]] = np.maximum(out[:, s.subject[c]], v)
     return out
 
 
+def sentence_cosines(b: pa.RecordBatch, space: Space, s: Subjects) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each sentence, sentences x subjects): cosines of the sentences' embeddings to the centroids of the
+    document's script. A term counts once for each time it occurs; sentences without known terms are similar to nothing."""
+    flat, _ = _lists(b.column("terms"))
+    sizes, starts = _lists(b.column("sizes"))
+    doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
+    col = space.index[flat]
+    known = col >= 0
+    of = np.repeat(np.arange(len(sizes)), sizes)[known]
+    y = np.zeros((len(sizes), space.basis.shape[1]), np.float32)
+    if len(of):
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        y[of[heads]] = np.add.reduceat(space.basis[col[known]] * space.idf[col[known], None].astype(np.float32), heads)
+    script = b.column("latin").to_numpy(zero_copy_only=False).astype(int)[doc]
+    some = np.linalg.norm(y, axis=1) > 0
+    cos = _unit(_unit(y) - s.mean[script]) @ s.centroid.T
+    cos[(script[:, None] != s.latin[None]) | ~some[:, None]] = -1
+    return doc, _by_subject(cos, s)
+
+
+def _dealt(cos: np.ndarray, doc: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each document's sentences that deal with each subject, whether enough of them do to count)."""
+    n = np.bincount(doc, minlength=rows)
+    hits = np.zeros((rows, cos.shape[1]))
+    np.add.at(hits, doc, cos >= threshold)
+    return hits / np.maximum(n, 1)[:, None], (hits >= np.minimum(2, np.maximum(n, 1))[:, None]) & (hits > 0)
+
+
+def _thresholds(labelled: DataFrame, space: Space, subjects: Subjects) -> tuple[float, float]:
+    """The thresholds of sentences and documents, of all in the grids, whose assignments agree best with the labels: the
+    highest F1 over all pairs of a labelled document and a subject, ties by the higher thresholds."""
+    context = labelled.sparkSession.sparkContext
+    sent = context.broadcast((space, subjects))
+    size = (len(SENTENCE_GRID), len(DOCUMENT_GRID))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, su = sent.value
+        found, right, asked = np.zeros(size), np.zeros(size), 0
+        for b in _small(batches):
+            truth = np.zeros((b.num_rows, len(su.names)), bool)
+            s, starts = _lists(b.column("s"))
+            truth[np.repeat(np.arange(b.num_rows), np.diff(starts)), s] = True
+            asked += int(truth.sum())
+            own = _by_subject(_similar(b, embed(b, sp), su), su)
+            doc, cos = sentence_cosines(b, sp, su)
+            for i, t in enumerate(SENTENCE_GRID):
+                share, enough = _dealt(cos, doc, b.num_rows, t)
+                for j, d in enumerate(DOCUMENT_GRID):
+                    ok = enough & (share >= SHARE) & (own >= d)
+                    found[i, j] += ok.sum()
+                    right[i, j] += (ok & truth).sum()
+        at = np.arange(found.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found.ravel()), pa.array(right.ravel()), pa.array(np.full(found.size, float(asked)))], ["at", "found", "right", "asked"])
+
+    rows = labelled.select("latin", "terms", "sizes", "u", "n", "s").coalesce(context.defaultParallelism).mapInArrow(count, "at int, found double, right double, asked double")
+    total = rows.groupBy("at").agg(F.sum("found").alias("found"), F.sum("right").alias("right"), F.sum("asked").alias("asked")).toPandas()  # as many rows as the grid has
+    sent.destroy()
+    if not len(total):
+        return SENTENCE_GRID[-1], DOCUMENT_GRID[-1]
+    total["f1"] = (2 * total.right / (total.found + total.asked).clip(lower=1)).round(9)
+    best = int(total.sort_values(["f1", "at"]).iloc[-1]["at"])
+    return SENTENCE_GRID[best // size[1]], DOCUMENT_GRID[best % size[1]]
+
+
 def shares(table: DataFrame, space: Space, subjects: Subjects) -> DataFrame:
     """(doc_id, subject, share): the share of the document's sentences that deal with the subject, for the subjects
-    that are similar to the document and supported by two sentences (or its only one)."""
+    that are similar to the document and that two of its sentences (or its only one) deal with."""
     sent = table.sparkSession.sparkContext.broadcast((space, subjects))
-    width = len(subjects.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, su = sent.value
         for b in _small(batches):
-            flat, _ = _lists(b.column("terms"))
-            sizes, starts = _lists(b.column("sizes"))
-            col = sp.index[flat]
-            heads = np.zeros(len(sizes), np.int64)
-            np.cumsum(sizes[:-1], out=heads[1:])
-            doc = np.repeat(np.arange(b.num_rows), np.diff(starts))
-            script = np.repeat(b.column("latin").to_numpy(zero_copy_only=False).astype(int)[doc], sizes)
-            load = np.where((col >= 0)[:, None], su.load[script, np.maximum(col, 0)], np.float32(0))
-            weight = np.add.reduceat(load, heads) if len(heads) else np.zeros((0, width), np.float32)
-            n = np.bincount(doc, minlength=b.num_rows)
-            y = embed(b, sp)
-            cos = np.full((b.num_rows, width), -1.0)
-            for c, v in enumerate(_similar(b, y, su).T):
-                cos[:, su.subject[c]] = np.maximum(cos[:, su.subject[c]], v)
-            strong = weight >= STRONG
-            lead = (weight >= WEAK) & (weight >= weight.max(1, keepdims=True) - 1e-6) if len(weight) else strong
-            firm, loose = np.zeros((b.num_rows, width)), np.zeros((b.num_rows, width))
-            np.add.at(firm, doc, strong)
-            np.add.at(loose, doc, strong | lead)
-            ok = (firm >= np.minimum(2, np.maximum(n, 1))[:, None]) & (cos >= SIMILAR)
-            row, subject = np.nonzero(ok)
+            own = _by_subject(_similar(b, embed(b, sp), su), su)
+            doc, cos = sentence_cosines(b, sp, su)
+            share, enough = _dealt(cos, doc, b.num_rows, su.sentence)
+            row, subject = np.nonzero(enough & (own >= su.document))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(row)), pa.array([su.names[i] for i in subject], pa.string()), pa.array(loose[row, subject] / n[row])], ["doc_id", "subject", "share"]
+                [b.column("doc_id").take(pa.array(row)), pa.array([su.names[i] for i in subject], pa.string()), pa.array(share[row, subject])], ["doc_id", "subject", "share"]
             )
 
     return table.mapInArrow(run, "doc_id bigint, subject string, share double")

@@ -32,10 +32,23 @@ def test_mixture(spark):
     assert {(r.doc_id, r.copies) for r in mixing.mixture(df.repartition(7), targets).collect()} == {(r.doc_id, r.copies) for r in rows}
     assert mixing.mixture(df.limit(0), targets).count() == 0
     assert mixing.mixture(df, targets.limit(0)).count() == 0
+    m = {(r.dimension, r.value): r for r in mixing.marginals(out, df, targets).collect()}
+    assert m["source", "big"].target_share == pytest.approx(1 / 3) and abs(m["source", "big"].reached_share - 1 / 3) < 0.005 and all(r.settled for r in m.values())
+    assert ("language", None) in m and m["topic", "x"].reached_share == pytest.approx(1.0) and ("source", "gone") not in m
+    assert tuple(mixing.conservation(out, df, targets).first()) == (0, 0, 0, 0, 0)
+    bad = out.withColumn("copies", F.lit(9)).unionByName(out.limit(1).withColumn("source", F.lit("other")))
+    broken = mixing.conservation(bad, df, targets).first()
+    assert broken.over_cap == len(rows) and broken.foreign_source == 1 and broken.repeated_documents == 1
     half = mixing.mixture(df, targets, total=100_000.0).agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0]
     assert abs(half - 100_000) < 2000
 
 
+def test_languages(spark):
+    rows = [("fa-IR", False), (None, False), ("en", False), ("en_US", True), ("", False), ("ar", False), (None, True)]
+    df = spark.createDataFrame(rows, "tag string, latin boolean").select(mixing.language(F.col("tag"), F.col("latin"), ("en", "fa")).alias("l"))
+    assert [r.l for r in df.collect()] == ["fa", "fa", "fa", "en", "fa", "ar", "en"]
+
+
 def test_pieces():
     t = "یک دو سه " * 3000
     parts = list(mixing.pieces(t, 1000))
@@ -68,9 +81,10 @@ def test_language_by_the_repaired_text(spark, tmp_path):
         "documents": ([(1, "web", "fa", spoilt), (2, "web", "fa", "peace here"), (3, "web", "fa", "سلام دنیا"), (4, "web", "fa", None)], "doc_id long, source string, lang string, text string"),
         "subject_labels": ([(2, "a")], "doc_id long, subject string"),
         "subject_areas": ([("a",)], "subject string"),
+        "mix_targets": ([("web", 1.0, 1)], "source string, target_share double, max_repeats int"),
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r.doc_id: (r.language, r.n_tokens) for r in mixing.sized_documents(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.language, r.n_tokens) for r in mixing._inputs(spark, str(tmp_path))[0].collect()}
     stored = {r.doc_id: r.n_tokens for r in mixing.token_counts(spark.createDataFrame(*tables["documents"]), "text").collect()}
     assert got == {1: ("en", stored[1]), 2: ("en", stored[2]), 3: ("fa", stored[3]), 4: ("fa", 0)}
