@@ -2,17 +2,16 @@
 
 Records are linked through shared keys (speaker, recording, sentence). Each key gives a star of edges to the
 smallest id that holds it, so the edges are linear in the records whatever the size of a key. Components are
-found by hash-to-min on rows: a node's cluster is the set of rows (node, member); in each round every node
-sends its cluster to the cluster's minimum, and the minimum to every member of the cluster, until nothing
-changes. Components then go to splits by weighted rendezvous hashing of their smallest id.
+found by hash-to-min on rows: a node's cluster is its edges; in each round every node sends its cluster to the
+cluster's minimum, and the minimum to every member of the cluster. Two kinds of round take turns. In the one every
+member is replaced by its own minimum as its cluster is handed over, so that only minima stay; this shrinks the graph
+fastest. In the other members stay, and the minimum spreads along chains of minima. A node that no edge names any
+more has retired, remembering its minimum; a round handles only what is still growing, and the last finds no edges.
+Components then go to splits by weighted rendezvous hashing of their smallest id.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,47 +22,67 @@ from corpusloom.operators.skew import join_per_key
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 MIN_LETTERS = 15
 NOBODY = ("", "unknown")
-#: Components of at least this share of all records are placed one by one; there are at most 1/share of them.
-BIG = 0.0005
 MAX_ROUNDS = 64
+#: Passes over the groups in which the weights are fitted, and the error of a share that ends them.
+PASSES, CLOSE = 12, 0.002
 
 
 def links(members: DataFrame) -> DataFrame:
-    """(a, b): edges a > b between an ``id`` and the smallest id that holds the same (``kind``, ``k``).
+    """(a, b): edges a > b between an ``id`` and the smallest id that holds the same key ``k``.
 
     Null ids and null keys link nothing. The minimum is taken with map-side combine, and the join back spreads hot
-    keys, so a key of a third of all rows is no burden.
+    keys, so a key of a third of all rows is no burden. ``members`` is evaluated once.
     """
-    held = members.filter("id IS NOT NULL AND k IS NOT NULL")
-    least = held.groupBy("kind", "k").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > b").drop("last")
-    return join_per_key(held, runtime.table(least), ["kind", "k"], "n", F.col("id")).filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+    held = runtime.table(members.filter("id IS NOT NULL AND k IS NOT NULL").select("id", "k"))
+    least = held.groupBy("k").agg(F.min("id").alias("b"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("last > b").drop("last")
+    return join_per_key(held, runtime.table(least), ["k"], "n", F.col("id")).filter("id > b").select(F.col("id").alias("a"), "b")
 
 
 def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, group_id): the smallest node of the component of each node that has an edge. No edges, no rows.
 
-    A cluster is never gathered in one task: it is spread over rows, and only its minimum is aggregated.
+    A cluster is never gathered in one task: it is spread over rows, and only its minimum is aggregated. Edges are
+    kept once, as (hi, lo). Joins to a node's row spread the nodes that hold many edges.
     """
-    e = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v IS NOT NULL AND u IS NOT NULL AND v <> u")
-    # Rows (v, u), u in the cluster of v; v itself belongs to its cluster without a row.
-    clusters = runtime.table(e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct())
-    before = None
-    for _ in range(max_rounds):
-        least = runtime.table(clusters.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"), F.count(F.lit(1)).alias("n")))
-        with_min = join_per_key(clusters, least, ["v"], "n", F.col("u"))
-        to_min = with_min.select(F.col("m").alias("v"), "u")  # the cluster goes to its minimum
-        to_all = with_min.select(F.col("u").alias("v"), F.col("m").alias("u"))  # the minimum to its members
-        mine = least.select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
-        grown = runtime.table(to_min.unionByName(to_all).unionByName(mine).filter("v <> u").distinct())
-        runtime.release(clusters, least)
-        clusters = grown
-        now = clusters.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components are not stable after {max_rounds} rounds")
-    return clusters.groupBy(F.col("v").alias("id")).agg(F.least(F.min("u"), F.first("v")).alias("group_id"))
+    x, y = F.col(a), F.col(b)
+    e = runtime.table(edges.filter((x != y) & x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct())
+    rounds: list[DataFrame] = []
+    while not e.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components are not stable after {max_rounds} rounds")
+        ends = F.explode(F.array(F.struct(F.col("hi").alias("v"), F.col("lo").alias("u")), F.struct(F.col("lo").alias("v"), F.col("hi").alias("u"))))
+        node = runtime.table(e.select(ends.alias("x")).groupBy("x.v").agg(F.least(F.min("x.u"), F.first("x.v")).alias("m"), F.count(F.lit(1)).alias("n")))
+        # A node with one edge, to a smaller one, has nothing more to say: its edge goes.
+        leaf = (F.col("n") == 1) & (F.col("m") < F.col("v"))
+        upper = (node.filter(~leaf) if len(rounds) % 2 else node).select(F.col("v").alias("hi"), F.col("m").alias("mh"), "n")
+        lower = node.select(F.col("v").alias("lo"), F.col("m").alias("ml"), "n")
+        live = join_per_key(join_per_key(e, upper, ["hi"], "n", F.col("lo")), lower, ["lo"], "n", F.col("hi"))
+        pairs = (("lo", "mh"), ("hi", "mh"), ("hi", "ml"), ("lo", "ml")) if len(rounds) % 2 else (("mh", "ml"),)
+        sent = F.explode(F.array(*[F.struct(F.greatest(p, q).alias("hi"), F.least(p, q).alias("lo")) for p, q in pairs]))
+        grown = runtime.table(live.select(sent.alias("x")).select("x.hi", "x.lo").filter("hi > lo").distinct())
+        runtime.release(e)
+        rounds.append(node)
+        e = grown
+    return _resolved(rounds, edges.sparkSession)
+
+
+def _resolved(rounds: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """Labels of the nodes that retired in each round, from the last round to the first: the label of their minimum
+    where that retired later, else the minimum itself, which is the smallest node of its component."""
+    done: DataFrame | None = None
+    for k in reversed(range(len(rounds))):
+        gone = rounds[k].filter("m < v").select("v", "m")
+        if done is None:
+            done = gone.select(F.col("v").alias("id"), F.col("m").alias("group_id"))
+            continue
+        gone = gone.join(rounds[k + 1].select("v"), "v", "left_anti")
+        known = done.select(F.col("id").alias("m"), "group_id")
+        target = gone.groupBy("m").agg(F.count(F.lit(1)).alias("n")).join(known, "m", "left").select("m", "n", F.coalesce("group_id", "m").alias("group_id"))
+        labels = join_per_key(gone, runtime.table(target), ["m"], "n", F.col("v")).select(F.col("v").alias("id"), "group_id")
+        done = runtime.table(done.unionByName(labels))
+    if done is None:
+        return spark.createDataFrame([], "id bigint, group_id bigint")
+    return done.unionByName(done.select(F.col("group_id").alias("id"), "group_id").distinct())
 
 
 def _draw(group: Column, split: str, seed: int) -> Column:
@@ -71,54 +90,48 @@ def _draw(group: Column, split: str, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(group, F.lit(split), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _draw_here(group: int, split: str, seed: int) -> float:
-    """The same kind of number on the driver."""
-    h = hashlib.blake2b(f"{group}:{split}:{seed}".encode(), digest_size=8).digest()
-    return ((int.from_bytes(h, "big") >> 11) + 0.5) / float(1 << 53)
-
-
-def rendezvous(group: Column, weights: dict[str, float], seed: int = 42) -> Column:
+def rendezvous(group: Column, weights: dict[str, float], seed: int = 42, fits: dict[str, Column] | None = None) -> Column:
     """The split of highest score -weight / ln(draw): each split gets its weight's share of the groups, and
-    changing one weight moves only groups to or from that split."""
-    scores = [F.struct((-F.lit(float(w)) / F.ln(_draw(group, s, seed))).alias("score"), F.lit(s).alias("split")) for s, w in weights.items() if w > 0]
+    changing one weight moves only groups to or from that split. ``fits``: whether a split takes part."""
+    score = lambda s, w: -F.lit(float(w)) / F.ln(_draw(group, s, seed))
+    scores = [F.struct(F.when(fits[s] if fits else F.lit(True), score(s, w)).otherwise(0.0).alias("score"), F.lit(s).alias("split")) for s, w in weights.items() if w > 0]
     return F.array_max(F.array(*scores))["split"]
 
 
-def assign(groups: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 42, big: float = BIG) -> DataFrame:
+def assign(groups: DataFrame, splits: dict[str, float] = SPLITS, seed: int = 42, passes: int = PASSES, close: float = CLOSE) -> DataFrame:
     """(group_id, n, split) for ``groups`` (group_id, n records). No group is divided.
 
-    Groups of at least ``big`` of all records - at most 1/big of them, largest first, ties by id - are hashed one
-    by one, the weights being the room that each split has left; splits they would overfill take no part, and
-    where all would be overfilled the one with most room takes them. The rest is hashed with the room that is left
-    as weights. An empty input gives no rows.
+    One rule for groups of any size: rendezvous hashing among the splits whose whole share of the records is not
+    less than the group (a group larger than all shares goes to the largest). The weights of the hashing are fitted
+    so that the records, not the groups, come in the given shares: each pass sums the records of each split under
+    the present weights and moves these towards the shares; the weights of the closest pass count. An empty input
+    gives no rows.
     """
     if not splits or any(w < 0 for w in splits.values()) or sum(splits.values()) <= 0:
         raise ValueError("splits need weights of at least 0, not all 0")
-    spark = groups.sparkSession
     whole = groups.agg(F.sum("n")).first()[0] or 0
-    room = {s: whole * w / sum(splits.values()) for s, w in splits.items()}
-    placed: list[tuple[int, str]] = []
-    for row in groups.filter(F.col("n") >= max(2.0, big * whole)).orderBy(F.desc("n"), "group_id").limit(int(1 / big) + 1).collect():
-        fits = {s: r for s, r in room.items() if r >= row.n}
-        s = max(fits, key=lambda x: -fits[x] / math.log(_draw_here(row.group_id, x, seed))) if fits else max(room, key=lambda x: room[x])
-        placed.append((row.group_id, s))
-        room[s] -= row.n
-    weights = {s: max(0.0, r) for s, r in room.items()}
-    if sum(weights.values()) <= 0:
-        weights = splits
-    own = spark.createDataFrame(placed, "group_id long, placed string")  # at most 1/big rows
-    split = F.coalesce("placed", rendezvous(F.col("group_id"), weights, seed))
-    return groups.join(F.broadcast(own), "group_id", "left").select("group_id", "n", split.alias("split"))
+    aim = {s: w / sum(splits.values()) for s, w in splits.items() if w > 0}
+    largest = max(aim, key=lambda s: aim[s])
+    fits = {s: F.lit(True) if s == largest else F.col("n") <= F.lit(w * whole) for s, w in aim.items()}
+    weights, best = dict(aim), (2.0, dict(aim))
+    for k in range(passes if whole else 0):
+        held = {r.split: r.n / whole for r in groups.groupBy(rendezvous(F.col("group_id"), weights, seed, fits).alias("split")).agg(F.sum("n").alias("n")).collect()}
+        error = max(abs(held.get(s, 0.0) - w) for s, w in aim.items())
+        best = min(best, (error, dict(weights)), key=lambda x: x[0])
+        if error <= close:
+            break
+        pace = 1.0 / (1 + k / 4)
+        weights = {s: v * min(4.0, max(0.25, aim[s] / max(held.get(s, 0.0), 1e-9))) ** pace for s, v in weights.items()}
+    return groups.select("group_id", "n", rendezvous(F.col("group_id"), best[1], seed, fits).alias("split"))
 
 
 def keys_of(clips: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """(id, kind, k): the speaker, recording and sentence keys of clips; ``k`` is a digest."""
-    named = lambda c, kind: clips.filter(F.col(c).isNotNull()).select("id", F.lit(kind).alias("kind"), F.unhex(F.md5(c)).alias("k"))
-    speakers = clips.filter(~F.trim("speaker_id").isin(*NOBODY))
-    speakers = speakers.select("id", F.lit("s").alias("kind"), F.unhex(F.md5("speaker_id")).alias("k"))
+    """(id, k): the speaker, recording and sentence keys of clips; ``k`` is a digest of the kind and the key."""
+    digest = lambda kind, c: F.unhex(F.md5(F.concat(F.lit(kind), c)))
+    speaker = F.when(~F.trim("speaker_id").isin(*NOBODY), digest("s", F.col("speaker_id")))
+    named = clips.select("id", F.explode(F.array(speaker, digest("r", F.col("recording_id")))).alias("k"))
     texts = clips.select(F.lit("").alias("tab"), "id", F.col("cleaned_text").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    sentences = text_digests(texts, min_letters).select("id", F.lit("t").alias("kind"), "k")
-    return reduce(DataFrame.unionByName, [speakers, named("recording_id", "r"), sentences])
+    return named.unionByName(text_digests(texts, min_letters))
 
 
 def clips_of(spark: SparkSession, sf: str) -> DataFrame:

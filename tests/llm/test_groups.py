@@ -57,6 +57,31 @@ def test_shares(spark):
         groups.assign(g, {"a": 0.0})
 
 
+def test_one_rule_for_all_sizes(spark):
+    """A quarter of all records in one group never goes to a split that it would overfill, and the rest makes up for it."""
+    for big in range(6):
+        g = spark.createDataFrame([(i, 1 + i % 5) for i in range(3000)] + [(10_000 + big, 3000), (20_000, 600)], "group_id long, n long")
+        out = groups.assign(g).groupBy("split").agg(F.sum("n").alias("n")).collect()
+        whole = sum(r.n for r in out)
+        assert all(abs(r.n / whole - groups.SPLITS[r.split]) < 0.01 for r in out) and len(out) == 3
+    one = groups.assign(spark.createDataFrame([(1, 5)], "group_id long, n long")).collect()
+    assert [r.split for r in one] == ["train"]
+    assert groups.assign(one and spark.createDataFrame([], "group_id long, n long")).count() == 0
+
+
+def test_rounds_shrink(spark, monkeypatch):
+    """Nodes with one edge retire at once: a star takes one round, whatever its size, and a chain a logarithm."""
+    from corpusloom import runtime
+
+    sizes = []
+    monkeypatch.setattr(runtime, "table", lambda df, table=runtime.table: (sizes.append(1), table(df))[1])
+    star = spark.range(1, 3000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    assert groups.hash_to_min(star).filter("group_id <> 0").count() == 0 and len(sizes) <= 4
+    sizes.clear()
+    chain = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert groups.hash_to_min(chain).filter("group_id <> 0").count() == 0 and len(sizes) < 64
+
+
 def test_rendezvous_moves_little(spark):
     df = spark.range(4000)
     a = {r.id: r.s for r in df.select("id", groups.rendezvous(F.col("id"), {"x": 0.5, "y": 0.5}).alias("s")).collect()}
