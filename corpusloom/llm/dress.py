@@ -33,9 +33,7 @@ IRREGULAR = r"[\p{IsGreek}\p{IsCyrillic}\x{0300}-\x{036F}\x{0653}-\x{0655}]"
 def _text_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sym, starts = stream.fold(b.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("tab"), b.column("id"), pa.array(stream.hashes(sym, starts)), pa.array((starts[1:] - starts[:-1]).astype(np.int32)), b.column("text")], ["tab", "id", "h", "n", "text"]
-        )
+        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("id"), b.column("s"), pa.array(stream.hashes(sym, starts)), pa.array((starts[1:] - starts[:-1]).astype(np.int32))], NAMES)
 
 
 def _number(v: float | int) -> str:
@@ -123,17 +121,23 @@ def _record_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             value ^= value >> np.uint64(32)
             np.add.at(h, np.array(owner), value)
         keep = pa.array(ok)
-        out = pa.RecordBatch.from_arrays([b.column("tab"), b.column("id"), pa.array(h.astype(np.int64)), pa.array(sizes), b.column("text")], ["tab", "id", "h", "n", "text"])
-        yield out.filter(keep)
+        yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("id"), b.column("s"), pa.array(h.astype(np.int64)), pa.array(sizes)], NAMES).filter(keep)
 
 
-HASHED = "tab string, id bigint, h bigint, n int, text string"
+NAMES = ["tab", "id", "s", "h", "n"]
+HASHED = "tab string, id bigint, s binary, h bigint, n int"
 
 
 def text_rows(df: DataFrame, tab: str, key: str, text: str) -> DataFrame:
+    """(tab, id, text) of the rows that have both."""
     return df.select(F.lit(tab).alias("tab"), F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``s``, a digest of the text: with tab and id it names the row that a hash belongs to."""
+    return rows.withColumn("s", F.unhex(F.md5("text")))
+
+
 def regular(rows: DataFrame) -> DataFrame:
     """``rows`` with the few irregular texts brought to the consistent form, so that the table can fold all."""
     odd = F.col("text").rlike(IRREGULAR)
@@ -143,8 +147,8 @@ def regular(rows: DataFrame) -> DataFrame:
 
 
 def text_hashes(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
-    """Hash and number of letters and digits of each text of at least ``min_letters`` of them."""
-    return regular(rows).mapInArrow(_text_hashes, HASHED).filter(F.col("n") >= min_letters)
+    """Hash and number of letters and digits of each of the regular texts that has at least ``min_letters`` of them; no text."""
+    return stored(rows).mapInArrow(_text_hashes, HASHED).filter(F.col("n") >= min_letters)
 
 
 def text_digests(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
@@ -161,40 +165,47 @@ def text_digests(rows: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
 
 
 def record_hashes(rows: DataFrame) -> DataFrame:
-    """Hash and number of fields of each record that can be parsed."""
-    return rows.mapInArrow(_record_hashes, HASHED)
+    """Hash and number of fields of each record that can be parsed; no text."""
+    return stored(rows).mapInArrow(_record_hashes, HASHED)
 
 
-def _verified(batches: Iterator[pa.RecordBatch], records: bool) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], records: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         left, right = b.column("text").to_pylist(), b.column("keep_text").to_pylist()
-        if records:
-            same = np.array([record_key(x) == record_key(y) for x, y in zip(left, right, strict=True)], bool)
-        else:
-            same = stream.equal_streams(left, right)
+        kind = np.array([t in records for t in b.column("tab").to_pylist()], bool)
+        same = np.zeros(b.num_rows, bool)
+        for i in np.flatnonzero(kind):
+            same[i] = record_key(left[i]) == record_key(right[i])
+        plain = np.flatnonzero(~kind)
+        same[plain] = stream.equal_streams([left[i] for i in plain], [right[i] for i in plain])
         digest = [None] * b.num_rows
         for i in np.flatnonzero(~same):  # a collision: told apart by all symbols
-            x = repr(record_key(left[i])) if records else forms.letters(forms.shape(left[i]))
+            x = repr(record_key(left[i])) if kind[i] else forms.letters(forms.shape(left[i]))
             digest[i] = hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         cols = [b.column(c) for c in ("tab", "keep_id", "copy_id", "h", "n")]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(digest, pa.string())], ["tab", "keep_id", "copy_id", "h", "n", "digest"])
 
 
-def copies(hashed: DataFrame, records: bool = False) -> DataFrame:
-    """(tab, keep_id, copy_id): every record that is a copy of one with a smaller id.
+def copies(hashed: DataFrame, rows: DataFrame, records: tuple[str, ...] = ()) -> DataFrame:
+    """(tab, keep_id, copy_id): every record that is a copy of one with a smaller id. ``hashed`` (tab, id, s, h, n) is
+    written once; ``rows`` (tab, id, text) give the texts, of repeated hashes only; the tables ``records`` hold records.
 
     Rows repeated under one id count once (the same id never is its own copy). Groups may hold any share of the
     rows: the smallest id of each group is an aggregate with map-side combine, and it and the keeper's text reach
     the copies by joins that spread hot groups.
     """
     group = ["tab", "h", "n"]
+    hashed = runtime.table(hashed)
     firsts = hashed.groupBy(*group).agg(F.min("id").alias("keep_id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("held")).filter("last > keep_id").drop("last")
     firsts = runtime.table(firsts)
-    members = runtime.table(join_per_key(hashed, firsts, group, "held", F.col("id")).select(*group, "id", "text", "keep_id"))
+    named = runtime.table(join_per_key(hashed, firsts, group, "held", F.col("id")).select(*group, "id", "s", "keep_id").distinct())
+    runtime.release(hashed)
+    members = runtime.table(stored(rows).join(named, ["tab", "id", "s"]).select(*group, "id", "text", "keep_id"))
     keepers = members.filter("id = keep_id").groupBy(*group).agg(F.first("text").alias("keep_text"))
     keepers = runtime.table(keepers.join(firsts.select(*group, "held"), group))
     pairs = join_per_key(members.filter("id > keep_id"), keepers, group, "held", F.col("id")).select("tab", "keep_id", F.col("id").alias("copy_id"), "h", "n", "text", "keep_text")
     checked = runtime.table(pairs.mapInArrow(lambda b: _verified(b, records), "tab string, keep_id bigint, copy_id bigint, h bigint, n int, digest string"))
+    runtime.release(firsts, named, members, keepers)
     good = checked.filter("digest IS NULL").select("tab", "keep_id", "copy_id")
     again = checked.filter("digest IS NOT NULL")
     regrouped = again.groupBy(*group, "digest").agg(F.min("copy_id").alias("keep_id"))
@@ -202,6 +213,16 @@ def copies(hashed: DataFrame, records: bool = False) -> DataFrame:
     return good.unionByName(rest).distinct()
 
 
+def text_copies(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Copies among the texts ``rows`` and among the records ``lines``, both (tab, id, text)."""
+    rows = regular(rows)
+    hashed = text_hashes(rows)
+    if lines is None:
+        return copies(hashed, rows)
+    tabs = tuple(r.tab for r in lines.select("tab").distinct().collect())  # names of tables
+    return copies(hashed.unionByName(record_hashes(lines)), rows.unionByName(lines), tabs)
+
+
 def copy_counts(found: DataFrame) -> DataFrame:
     """(tab, keep_id, n_copies): one record each with the number of its copies under other ids."""
     return found.groupBy("tab", "keep_id").agg(F.count(F.lit(1)).alias("n_copies"))
@@ -211,7 +232,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     texts = text_rows(read("raw_clips"), "raw_clips", "id", "text_raw").unionByName(text_rows(read("train_clips"), "train_clips", "id", "cleaned_text"))
     lines = text_rows(read("manifest_lines"), "manifest_lines", "line_id", "payload")
-    return copies(text_hashes(texts)).unionByName(copies(record_hashes(lines), records=True))
+    return text_copies(texts, lines)
 
 
 def p6_copy_counts(spark: SparkSession, sf: str) -> DataFrame:

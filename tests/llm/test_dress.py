@@ -42,7 +42,8 @@ def test_record_keys():
 def run(spark, rows, records=False):
     df = spark.createDataFrame(rows, "id long, text string").withColumn("h", F.lit(1))
     r = dress.text_rows(df, "t", "id", "text")
-    return {(x.keep_id, x.copy_id) for x in dress.copies(dress.record_hashes(r) if records else dress.text_hashes(r), records).collect()}
+    none = dress.text_rows(df.limit(0), "none", "id", "text")
+    return {(x.keep_id, x.copy_id) for x in dress.text_copies(none if records else r, r if records else none).collect()}
 
 
 def test_copies(spark):
@@ -57,8 +58,15 @@ def test_copies(spark):
 def test_collisions_are_told_apart(spark):
     """All rows under one hash: the comparison alone decides."""
     texts = ["abcdefghijklmnopq", "Abcdefghijklmnop-q", "qponmlkjihgfedcba", "q ponmlkjihgfedcba", "qponmlkjihgfedcbb"]
-    df = spark.createDataFrame([("t", i, 1, 17, x) for i, x in enumerate(texts)], "tab string, id long, h long, n int, text string")
-    assert {(r.keep_id, r.copy_id) for r in dress.copies(df).collect()} == {(0, 1), (2, 3)}
+    rows = spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "tab string, id long, text string")
+    hashed = dress.stored(rows).select("tab", "id", "s", F.lit(1).cast("bigint").alias("h"), F.lit(17).alias("n"))
+    assert {(r.keep_id, r.copy_id) for r in dress.copies(hashed, rows).collect()} == {(0, 1), (2, 3)}
+
+
+def test_texts_of_one_id(spark):
+    """Two texts under one id, shared with another id: each is matched by its own hash."""
+    a, b = "این یک جمله بلند آزمایشی است", "این جمله دیگر هم بلند است"
+    assert run(spark, [(1, a), (1, b), (2, a + "!"), (2, b + "."), (3, b)]) == {(1, 2), (1, 3)}
 
 
 def test_against_grouping(spark, sf):
@@ -89,4 +97,4 @@ def test_words_stored_in_other_forms_attest(spark):
     pairs = [("ｖｏｌｌｅｙｂａｌｌ", "vоllеybаll"), ("cafe\u0301teria", "c\u0430f\u00e9teria"), ("trac\u200btor", "tr\u0430ctor")]
     rows = [(2 * i + k, w + tail * (i + 1)) for i, p in enumerate(pairs) for k, w in enumerate(p)]
     df = dress.text_rows(spark.createDataFrame(rows, "id long, text string"), "t", "id", "text")
-    assert {(r.keep_id, r.copy_id) for r in dress.copies(dress.text_hashes(df)).collect()} == {(0, 1), (2, 3), (4, 5)}
+    assert {(r.keep_id, r.copy_id) for r in dress.text_copies(df).collect()} == {(0, 1), (2, 3), (4, 5)}
