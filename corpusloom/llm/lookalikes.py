@@ -10,6 +10,7 @@ the result of at least two differently stored mixed tokens. All else stays as it
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ GREEK = "α....ο....ν.ΑΒ.ΕΗΙ.ΚΜΝΟΡ.ΤΧΥΖ"
 # Further single look-alikes to Latin.
 EXTRA = {"υ": "u", "ι": "i", "ρ": "p", "κ": "k", "χ": "x", "γ": "y", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ґ": "r", "ϲ": "c", "ϳ": "j"}
 
+# Letters of the other scripts that carry marks, by rule: the look-alike of their base with the same marks, if that is one letter.
+_BASES = {b: a for alphabet in (GREEK, CYRILLIC) for a, b in zip(LATIN, alphabet, strict=True) if b != "."} | EXTRA
+for _c in map(chr, [*range(0x370, 0x530), *range(0x1F00, 0x2000)]):
+    _base, *_marks = unicodedata.normalize("NFD", _c)
+    if _marks and _base in _BASES and len(_whole := unicodedata.normalize("NFC", _BASES[_base] + "".join(_marks))) == 1:
+        EXTRA.setdefault(unicodedata.normalize("NFC", _c), _whole)
+
 SCRIPTS = {"Latin": LATIN, "Cyrillic": CYRILLIC, "Greek": GREEK}
 TOKEN = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{Mn}]+"
 #: A letter of the three scripts; what is most frequent elsewhere is passed over first.
