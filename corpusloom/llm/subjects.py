@@ -318,7 +318,7 @@ def _sums(table: DataFrame, space: Space, pick, groups: int, extra: str | None =
             c += np.bincount(group, minlength=groups)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups, dtype=np.int32)), pa.array(c), _list(list(s), np.float64)], ["g", "c", "s"])
 
-    rows = table.select("latin", "u", "n", *([extra] if extra else [])).coalesce(context.defaultParallelism).mapInArrow(part, "g int, c double, s array<double>")
+    rows = table.select("latin", "u", "n", *([extra] if extra else [])).mapInArrow(part, "g int, c double, s array<double>")
     # Summed on the executors: position by position, a few hundred numbers in all.
     summed = rows.select("g", "c", F.posexplode("s").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).toPandas()
     sent.destroy()
@@ -334,13 +334,13 @@ def fit_subjects(table: DataFrame, space: Space, labels: DataFrame, areas: DataF
     at = {s: i for i, s in enumerate(names)}
     used = labels.filter(F.col("subject").isin(names)).select("doc_id", "subject").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "subject").limit(MAX_LABELS)
     code = F.element_at(F.create_map(*[F.lit(x) for kv in at.items() for x in kv]), F.col("subject"))
-    seeds = table.select("doc_id", "latin", "u", "n").join(used.select("doc_id", code.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s")), "doc_id")
+    seeds = table.select("doc_id", "latin", "u", "n").join(F.broadcast(used.select("doc_id", code.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s"))), "doc_id")  # at most MAX_LABELS rows
     script = lambda b, y: (np.arange(b.num_rows), b.column("latin").to_numpy(zero_copy_only=False).astype(int))
     sums, counts = _sums(table, space, script, 2)
     mean = sums / np.maximum(counts, 1)[:, None]
     width = len(names)
     plain = labels.groupBy("doc_id").agg(F.count("subject").alias("n")).filter("n = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
-    sums, counts = _sums(table.join(plain.select("doc_id"), "doc_id", "left_semi"), space, script, 2)
+    sums, counts = _sums(table.join(F.broadcast(plain.select("doc_id")), "doc_id", "left_semi"), space, script, 2)
     mean = (sums + PRIOR * mean) / (counts + PRIOR)[:, None]
 
     def labelled(b: pa.RecordBatch, y: np.ndarray):
@@ -367,7 +367,7 @@ def fit_subjects(table: DataFrame, space: Space, labels: DataFrame, areas: DataF
         out = Subjects(names, out.subject, out.latin, new, mean)
     answers = used.select("doc_id", code.alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     answers = answers.unionByName(plain.select("doc_id", F.array().cast("array<int>").alias("s")))
-    out.sentence, out.document = _thresholds(table.join(answers, "doc_id"), space, out)
+    out.sentence, out.document = _thresholds(table.join(F.broadcast(answers), "doc_id"), space, out)  # at most twice MAX_LABELS rows
     return out
 
 
@@ -447,7 +447,7 @@ def _thresholds(labelled: DataFrame, space: Space, subjects: Subjects) -> tuple[
         at = np.arange(found.size, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found.ravel()), pa.array(right.ravel()), pa.array(np.full(found.size, float(asked)))], ["at", "found", "right", "asked"])
 
-    rows = labelled.select("latin", "terms", "sizes", "u", "n", "s").coalesce(context.defaultParallelism).mapInArrow(count, "at int, found double, right double, asked double")
+    rows = labelled.select("latin", "terms", "sizes", "u", "n", "s").mapInArrow(count, "at int, found double, right double, asked double")
     total = rows.groupBy("at").agg(F.sum("found").alias("found"), F.sum("right").alias("right"), F.sum("asked").alias("asked")).toPandas()  # as many rows as the grid has
     sent.destroy()
     if not len(total):
