@@ -73,17 +73,22 @@ def filters(rate: int = RATE, mels: int = MELS, window: int = WINDOW) -> np.ndar
 def log_mel(x: np.ndarray, rate: int = RATE, seconds: int = SECONDS, mels: int = MELS) -> np.ndarray:
     """Log-mel features, mels x frames, of a clip padded or cut to ``seconds``: decimal logarithm, at most 8 below the
     largest, shifted and scaled to about -1 to 1."""
-    n = rate * seconds
-    held = len(x[:n])
-    x = np.pad(x[:n].astype(np.float64), (0, max(0, n - len(x))))
-    x = np.pad(x, WINDOW // 2, mode="reflect")
+    n, rim = rate * seconds, WINDOW // 2
+    x = np.asarray(x[:n], np.float64)
     # Frames that lie wholly in the padding are silent and need no transform.
-    sounding = min(n // HOP, (held + WINDOW // 2) // HOP + 1) if n - held > WINDOW else n // HOP
+    sounding = min(n // HOP, (len(x) + rim) // HOP + 1)
+    size = sounding * HOP + WINDOW
+    if n > size + WINDOW:  # the end of the padding is out of sight
+        x = np.pad(np.pad(x, (0, size - len(x))), (rim, 0), mode="reflect")
+    else:
+        x = np.pad(np.pad(x, (0, n - len(x))), rim, mode="reflect")
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP][:sounding]
     power = np.abs(np.fft.rfft(frames * np.hanning(WINDOW + 1)[:-1], axis=1)) ** 2
-    out = np.full((mels, n // HOP), -10.0)
-    out[:, :sounding] = np.log10(np.maximum(filters(rate, mels) @ power.T, 1e-10))
-    return ((np.maximum(out, out.max() - 8.0) + 4.0) / 4.0).astype(np.float32)
+    heard = np.log10(np.maximum(filters(rate, mels) @ power.T, 1e-10))
+    least = max(heard.max(initial=-10.0), -10.0) - 8.0
+    out = np.full((mels, n // HOP), (max(least, -10.0) + 4.0) / 4.0, np.float32)
+    out[:, :sounding] = (np.maximum(heard, least) + 4.0) / 4.0
+    return out
 
 
 def decoded(data: bytes | None) -> tuple[int, np.ndarray] | None:

@@ -119,7 +119,7 @@ def unmasked(spark, sf):
 
 def truncated(spark, sf):
     """Code points of documents as stand-ins for tokens, cut to the most labels that a decoder takes."""
-    points = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    points = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c))
     return read(spark, sf, "documents").select("doc_id", F.size(points).alias("n"), as_text(batching.truncated(points)))
 
 
@@ -200,7 +200,7 @@ SQL = {
     "pad_labels": f"WITH {_TOK}, {_PAD} SELECT id, array_to_string(l, ',') AS labels FROM pad",
     "strip_start_token": f"WITH {_TOK} SELECT id, array_to_string(CASE WHEN bool_and(coalesce(l[1] = 4, false)) OVER (PARTITION BY batch) THEN l[2:] ELSE l END, ',') AS labels FROM tok",
     "unmask_truncate": f"WITH {_TOK}, {_PAD} SELECT id, array_to_string(list_transform(l[1:448], lambda x: CASE WHEN x = -100 THEN 0 ELSE x END), ',') AS labels FROM pad",
-    "truncate_labels": "SELECT doc_id, length(text)::INT AS n, array_to_string(list_transform(string_split(text, '')[1:448], lambda c: unicode(c)), ',') AS labels FROM documents",
+    "truncate_labels": "SELECT doc_id, length(text)::INT AS n, array_to_string(list_transform(list_filter(string_split(text, ''), lambda c: c <> '')[1:448], lambda c: unicode(c)), ',') AS labels FROM documents",
     "guarded_labels": f"""SELECT r.id, r.duration, l.cleaned_text FROM raw_clips r JOIN (SELECT DISTINCT id, cleaned_text FROM val_clips WHERE id NOT IN (SELECT id FROM train_clips) AND {Q.collapsed('cleaned_text')} <> '') l USING (id)""",
     "label_coverage": "SELECT count(*) AS n_labels, count(*) FILTER (id NOT IN (SELECT id FROM val_clips)) AS n_missing, 'some' AS covered FROM (SELECT DISTINCT id, cleaned_text FROM train_clips)",
     "parquet_roundtrip": "SELECT id, duration, cleaned_text, split FROM val_clips",
