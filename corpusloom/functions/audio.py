@@ -101,7 +101,7 @@ def decoded(data: bytes | None) -> tuple[int, np.ndarray] | None:
     return (rate, x) if len(x) else None
 
 
-def sourced(array: list | None, rate: int | None, data: bytes | None, path: str | None) -> tuple[int, np.ndarray] | None:
+def sourced(array: list | np.ndarray | None, rate: int | None, data: bytes | None, path: str | None) -> tuple[int, np.ndarray] | None:
     """(rate, samples) from the first kind of source that is there: an array (of frames, or of channels per frame) with
     its rate, else bytes, else a file; a kind that is there but cannot be decoded is not made up by the next. A path
     must be readable on the executors."""
@@ -152,9 +152,16 @@ def _schema(df: DataFrame, keep: list[str], more: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields) + ", " + more
 
 
+def _held(v: pa.Scalar) -> object:
+    """The value; a list of numbers as an array, without a Python object for each, missing ones as NaN."""
+    if v.is_valid and pa.types.is_list(v.type) and not pa.types.is_nested(v.type.value_type):
+        return v.values.to_numpy(zero_copy_only=False)
+    return v.as_py()
+
+
 def _each(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray] | None]:
     for row in zip(*(b.column(f"__{n}") for n in SOURCE), strict=True):
-        yield sourced(*(v.as_py() for v in row))
+        yield sourced(*map(_held, row))
 
 
 def with_features(df: DataFrame, audio: str, keep: list[str], trimmed: bool = True, levelled: bool = True, mels: int = MELS, seconds: int = SECONDS, rows: int = 16, pooled: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import audio, signal, wav
@@ -75,15 +75,28 @@ def clip_levels(spark, sf):
 
 #: Three seconds at 16 kHz, silent but for a stretch that begins and ends later from one supplier to the next.
 LENGTH, QUIET, LOUD = 48_000, 0.0001, 0.4
+#: Rows of a task that makes such arrays: about 100 MB of them.
+LONG_ROWS = 256
+
+
+def _stretch(begin: Column, end: Column) -> Column:
+    """LENGTH samples, quiet but for those from ``begin`` up to before ``end``, which are loud and change their sign; all
+    are quiet where either is null. Made of repeats, as a lambda is interpreted for each sample."""
+    a = F.when(begin.isNull() | end.isNull(), LENGTH).otherwise(F.greatest(F.lit(0), F.least(begin, F.lit(LENGTH)))).cast("int")
+    b = F.greatest(a, F.least(end, F.lit(LENGTH)).cast("int"))
+    quiet = lambda n: F.array_repeat(F.lit(QUIET), n)
+    pairs = F.flatten(F.array_repeat(F.array(F.lit(LOUD), F.lit(-LOUD / 2)), F.ceil((b - a) / 2).cast("int") + 1))
+    return F.concat(quiet(a), F.slice(pairs, a % 2 + 1, b - a), quiet(F.lit(LENGTH) - b))
 
 
 def clip_trim(spark, sf):
-    """Trimming and levelling at their default settings on long arrays."""
+    """Trimming and levelling at their default settings on long arrays. The table is small, the arrays are not: its rows
+    are spread over the tasks before they are made."""
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-suppliers.count() // LONG_ROWS))
     begin = (F.col("s_suppkey") * 37) % 20_000
-    end = begin + 4_000 + F.col("s_nationkey") * 900
-    wave = F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: F.when((i >= begin) & (i < end), F.when(i % 2 == 0, F.lit(LOUD)).otherwise(F.lit(-LOUD / 2))).otherwise(F.lit(QUIET)))
-    source = F.struct(wave.alias("array"), F.lit(16_000).alias("sampling_rate"))
-    return _levels(spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", source.alias("audio")), "s_suppkey")
+    source = F.struct(_stretch(begin, begin + 4_000 + F.col("s_nationkey") * 900).alias("array"), F.lit(16_000).alias("sampling_rate"))
+    return _levels(suppliers.repartition(tasks).select("s_suppkey", source.alias("audio")), "s_suppkey")
 
 
 def features(spark, sf):

@@ -1,8 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import audio, signal
+from corpusloom.plans import signals
 from test_operators import make_wav
 
 
@@ -56,6 +60,39 @@ def test_sources(tmp_path):
     assert audio.sourced(None, None, None, str(path))[0] == 8000 and audio.sourced(None, None, None, "nowhere") is None and audio.sourced([], 8000, None, None) is None
 
 
+def _batch(arrays, kind):
+    empty = {"__sampling_rate": pa.int32(), "__bytes": pa.binary(), "__path": pa.string()}
+    return pa.RecordBatch.from_pydict({"__array": pa.array(arrays, kind), **{n: pa.nulls(len(arrays), k) for n, k in empty.items()}})
+
+
+def test_arrays_are_read_without_an_object_per_sample():
+    """Slices, other kinds of number, missing samples and rows, frames of channels give what the lists would."""
+    for kind in (pa.float64(), pa.float32(), pa.int32()):
+        lists = [[1, 2, 3], [], None, [None, 4], [5]]
+        for got, want in zip(audio._each(_batch(lists, pa.list_(kind)).slice(1)), lists[1:], strict=True):
+            assert got is None if not want else got[0] == audio.RATE and got[1].dtype == np.float64 and np.array_equal(got[1], np.asarray(want, np.float64), equal_nan=True)
+    frames = list(audio._each(_batch([[[1.0, 0.0], [0.0, 0.0]], None], pa.list_(pa.list_(pa.float64())))))
+    assert frames[0][1].tolist() == [0.5, 0.0] and frames[1] is None
+    long = _batch([np.arange(200_000) / 200_000], pa.list_(pa.float64()))
+    tracemalloc.start()
+    try:
+        x = next(audio._each(long))[1]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(x) == 200_000 and x[-1] == 199_999 / 200_000
+    assert most < 3 * x.nbytes  # floats and their list take four times the samples
+
+
+def test_stretch_sample_by_sample(spark):
+    n = signals.LENGTH
+    rows = [(0, 0), (0, n), (1, 2), (7, 4008), (8, 4009), (-3, 5), (-9, -2), (n - 1, n + 5), (n, n + 1), (n + 7, n + 9), (50, 20), (None, 9), (3, None)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    for r in df.select("a", "b", signals._stretch(F.col("a"), F.col("b")).alias("x")).collect():
+        a, b = (n, n) if r.a is None or r.b is None else (r.a, r.b)
+        assert r.x == [(signals.LOUD if i % 2 == 0 else -signals.LOUD / 2) if a <= i < b else signals.QUIET for i in range(n)]
+
+
 def test_silent_frames_are_as_transformed():
     rng = np.random.default_rng(1)
     for n in (0, 8, 399, 400, 16_000 * 2 + 7, 16_000 * 30 - 100, 16_000 * 31):

@@ -21,6 +21,14 @@ def test_audio_stays_in_the_scan(spark, sf):
         assert "Exchange" not in p and "audio:struct<bytes:binary>" in p
 
 
+def test_long_arrays_are_spread_before_they_are_made(spark, sf):
+    """A small table of long arrays is no single task, and no lambda is interpreted for each sample."""
+    df = entry.queries()["clip_trim"](spark, sf)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    p = plan(df)
+    assert p.index("MapInArrow") < p.index("Exchange RoundRobinPartitioning") < p.index("Scan parquet") and "lambda" not in p
+
+
 def test_text_functions_need_no_python(spark, sf):
     for name in ("text_normalize", "number_words", "fingerprint", "text_sizes", "error_rates", "signal_stats", "peak_normalize"):
         p = plan(entry.queries()[name](spark, sf))
